@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access",)
+MODULES = ("access", "ingest", "titleblocks")
 
 
 def load():
