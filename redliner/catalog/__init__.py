@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access", "ingest", "titleblocks")
+MODULES = ("access", "ingest", "titleblocks", "integrity")
 
 
 def load():
