@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access", "ingest", "titleblocks", "integrity")
+MODULES = ("access", "ingest", "titleblocks", "integrity", "claims", "codekb")
 
 
 def load():
