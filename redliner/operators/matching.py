@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redliner.operators.scan import ordered_scan, position
@@ -33,27 +33,24 @@ def tiered_assignment(
 ) -> DataFrame:
     """Assignments (left_id, right_id, tier). Rows with a null in a tier's key skip that tier.
 
-    Ids are integers and give the order inside a key. Each round is cut with a
-    checkpoint because the next one reads it twice.
+    Ids are integers and give the order inside a key. The sides and each round
+    are written to the shared folder, because every later round reads them.
     """
     from redliner.session import durable
 
-    chosen: list[DataFrame] = []
-    open_left, open_right = left, right
+    columns = sorted({k for tier in tiers for k in tier.keys})
+    sides = {left_id: durable(left.select(left_id, *columns)), right_id: durable(right.select(right_id, *columns))}
+    taken: DataFrame | None = None
     for number, tier in enumerate(tiers, 1):
         keys = list(tier.keys)
 
-        def numbered(df: DataFrame, row_id: str) -> DataFrame:
-            usable = df.dropna(subset=keys).select(*keys, row_id)
-            order: Column = F.col(row_id)
-            return ordered_scan(usable, keys, [order], F.floor(order / chunk_width), {"__n": position()})
+        def numbered(row_id: str) -> DataFrame:
+            usable = sides[row_id].select(*keys, row_id).dropna(subset=keys)
+            if taken is not None:
+                usable = usable.join(taken.select(row_id), row_id, "left_anti")
+            return ordered_scan(usable, keys, [F.col(row_id)], F.floor(F.col(row_id) / chunk_width), {"__n": position()})
 
-        hit = numbered(open_left, left_id).join(numbered(open_right, right_id), [*keys, "__n"], "inner")
+        hit = numbered(left_id).join(numbered(right_id), [*keys, "__n"], "inner")
         hit = durable(hit.select(left_id, right_id, F.lit(tier.name).alias("tier"), F.lit(number).alias("tier_no")))
-        chosen.append(hit)
-        open_left = open_left.join(hit.select(left_id), left_id, "left_anti")
-        open_right = open_right.join(hit.select(right_id), right_id, "left_anti")
-    out = chosen[0]
-    for hit in chosen[1:]:
-        out = out.unionByName(hit)
-    return out
+        taken = hit if taken is None else taken.unionByName(hit)
+    return taken

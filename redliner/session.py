@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,15 +33,27 @@ def local_session(cores: str = "8", shuffle_partitions: int | None = None, **con
     return spark
 
 
+def durable_folder(spark: SparkSession) -> str:
+    """Shared folder for intermediate tables.
+
+    The one the cluster names in ``spark.checkpoint.dir``; only when that is
+    unset (tests, laptops) a fresh folder is made and named there.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="redliner-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint.
+    """Cut lineage: write the frame to the shared folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    when that is unset (tests, laptops) a fresh folder is made.
+    The table survives lost executors, and the reader knows its size, so later
+    joins with a small result can still be broadcast.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="redliner-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{durable_folder(spark)}/redliner-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
