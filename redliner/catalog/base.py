@@ -17,6 +17,8 @@ class Tables:
     """Lazy access to the parquet tables of one scale folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        # window starts and dates are read in UTC, whatever zone the session came with
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder.rstrip("/")
 
