@@ -53,7 +53,8 @@ def build_sheets(documents: DataFrame, known: DataFrame | None = None) -> DataFr
 def ensure_dim(rows: DataFrame, existing: DataFrame, natural_key: Sequence[str], kind: str, id_col: str) -> DataFrame:
     """Existing rows plus one new row, with a deterministic id, per unknown natural key."""
     others = [c for c in rows.columns if c not in natural_key]
-    firsts = rows.groupBy(*natural_key).agg(*[F.min(c).alias(c) for c in others])
+    groups = rows.groupBy(*natural_key)
+    firsts = groups.agg(*[F.min(c).alias(c) for c in others]) if others else rows.select(*natural_key).distinct()
     fresh = new_rows(firsts, existing, natural_key).withColumn(
         id_col, stable_id(kind, *[F.col(c) for c in natural_key])
     )
