@@ -88,12 +88,12 @@ def text_boxes(t: Tables):
     x, y = F.col("l_partkey") % 97 * 11, F.col("l_suppkey") % 31 * 5
     return t.lineitem.select(
         (F.col("l_orderkey") % 40).alias("project_id"), (F.col("l_orderkey") % 200).cast("string").alias("sheet_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("span_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("span_id"),
         x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + F.col("l_quantity") + 1).alias("x2"), (y + F.col("l_linenumber") + 1).cast("double").alias("y2"),
     )
 
 
-SQL_BOXES = """SELECT (l_orderkey % 40) AS project_id, (l_orderkey % 200)::VARCHAR AS sheet_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS span_id,
+SQL_BOXES = """SELECT (l_orderkey % 40) AS project_id, (l_orderkey % 200)::VARCHAR AS sheet_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS span_id,
   (l_partkey % 97 * 11)::DOUBLE AS x1, (l_suppkey % 31 * 5)::DOUBLE AS y1, l_partkey % 97 * 11 + l_quantity + 1 AS x2, (l_suppkey % 31 * 5 + l_linenumber + 1)::DOUBLE AS y2 FROM lineitem"""
 
 

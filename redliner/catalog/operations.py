@@ -223,9 +223,9 @@ def match_project(t: Tables):
 
 
 @query("C23", """WITH r AS (SELECT p_size AS citation, min(p_partkey) AS retrieval_id FROM part WHERE p_size % 3 <> 0 GROUP BY 1), m AS (SELECT o_orderkey AS measurement_id, o_custkey AS sheet_id, o_totalprice AS value FROM orders WHERE o_orderstatus <> 'P')
-SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS finding_id, l_orderkey AS measurement_id, m.sheet_id, m.value, r.retrieval_id FROM lineitem LEFT JOIN m ON m.measurement_id = l_orderkey LEFT JOIN r ON r.citation = l_linenumber""")
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS finding_id, l_orderkey AS measurement_id, m.sheet_id, m.value, r.retrieval_id FROM lineitem LEFT JOIN m ON m.measurement_id = l_orderkey LEFT JOIN r ON r.citation = l_linenumber""")
 def provenance_chain(t: Tables):
-    fid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("finding_id")
+    fid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("finding_id")
     found = t.lineitem.select(fid, F.col("l_linenumber").alias("citation"))
     evidence = t.lineitem.select(fid, F.col("l_orderkey").alias("measurement_id"))
     measures = t.orders.filter(F.col("o_orderstatus") != "P").select(
