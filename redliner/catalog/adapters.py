@@ -108,7 +108,7 @@ def entities(t: Tables) -> DataFrame:
             (li("l_tax") > 0.06).alias("address_mismatch"),
         )
     )
-    return t.lineitem.select(
+    return t.busy("lineitem").select(
         entity_id.alias("entity_id"),
         li("l_orderkey").alias("document_id"),
         li("l_linenumber").alias("page"),

@@ -7,12 +7,21 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from redliner.session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
+# a well spread column of each larger table
+KEYS = {
+    "orders": "o_orderkey", "lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id", "events": "event_id",
+    "conversations": "conv_id", "part": "p_partkey", "customer": "c_custkey", "embeddings": "vec_id",
+}
+
+
 class Tables:
     """Lazy access to the parquet tables of one scale folder."""
 
@@ -28,6 +37,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+    def busy(self, name: str, *columns: str) -> DataFrame:
+        """A table for CPU-heavy row work: only ``columns`` when given, split over all cores."""
+        df = getattr(self, name)
+        return spread(df.select(*columns) if columns else df, KEYS[name])
+
+
 @dataclass(frozen=True)
 class Query:
     name: str

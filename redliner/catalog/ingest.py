@@ -114,7 +114,7 @@ def classify_documents(t: Tables):
     lead = a.pick(
         ["Title 24 CF1R report", "Code analysis narrative", "Sheet index and floor plan", "Plan check comments",
          "Deferred submittal", "Checklist", "Cut sheet"], F.col("doc_id"))
-    return t.documents.select("doc_id", parsing.classify_document(F.concat(lead, F.lit(" "), F.col("text"))).alias("doc_type"))
+    return t.busy("documents", "doc_id", "text").select("doc_id", parsing.classify_document(F.concat(lead, F.lit(" "), F.col("text"))).alias("doc_type"))
 
 
 @query("A21 E15", f"""WITH l AS ({SQL_LINES}), h AS (SELECT *, regexp_matches(line, '^[^ ]+( [^ ]+)?\\.$') AS is_heading FROM l),
@@ -145,7 +145,7 @@ def _letter(t: Tables):
         .when(n % 3 == 0, F.concat(n.cast("string"), F.lit(". "), F.col("line"), F.lit(" CBC §"), (n % 12 + 1).cast("string"), F.lit(".2")))
         .otherwise(F.col("line"))
     )
-    return parsing.lines_of(t.documents, "doc_id", "text").select(
+    return parsing.lines_of(t.busy("documents", "doc_id", "text"), "doc_id", "text").select(
         "doc_id", "line_no", line.alias("line"), a.pick(["italic", "bold", "underlined"], n).alias("style")
     )
 
@@ -201,7 +201,7 @@ def code_note_citations(t: Tables):
         F.lit("(f) and §R"), k, F.lit(".2.1 for the rest."),
     )
     note_id = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return parsing.code_notes(t.lineitem.select(note_id.alias("note_id"), note.alias("note")), "note_id", "note")
+    return parsing.code_notes(t.busy("lineitem").select(note_id.alias("note_id"), note.alias("note")), "note_id", "note")
 
 
 @query("A25", """SELECT o_orderkey, 'R-' || (o_custkey % 3 + 1) || '.1' AS occupancy_class, CASE WHEN o_custkey % 2 = 0 THEN 'VB' ELSE 'IIIA' END AS construction_type,

@@ -31,7 +31,7 @@ def dimension_parsing(t: Tables):
         F.when(f == 0, F.concat(F.lit("1/4\" = "), s, F.lit("'-0\""))).when(f == 1, F.concat(F.lit("3/16\" = "), s, F.lit("'-0\"")))
         .when(f == 2, F.concat(F.lit("1\" = "), s, F.lit("'"))).otherwise(F.lit("NTS"))
     )
-    return t.part.select("p_partkey", g.parse_dimension(dim).alias("inches"), g.parse_scale(scale).alias("ratio"))
+    return t.busy("part").select("p_partkey", g.parse_dimension(dim).alias("inches"), g.parse_scale(scale).alias("ratio"))
 
 
 @query("L1 E10", """WITH v AS (SELECT DISTINCT l_orderkey AS sheet_id, l_linenumber AS viewport FROM lineitem),
@@ -45,7 +45,7 @@ def scale_resolution(t: Tables):
     viewports = t.lineitem.select(F.col("l_orderkey").alias("sheet_id"), F.col("l_linenumber").alias("viewport")).distinct()
     n = F.col("viewport")
     viewports = viewports.withColumn("scale_text", F.when(n % 5 != 0, F.concat(F.lit("1/4\" = "), n.cast("string"), F.lit("'-0\""))))
-    anchors = t.lineitem.filter(F.col("l_returnflag") != "A").select(
+    anchors = t.busy("lineitem").filter(F.col("l_returnflag") != "A").select(
         F.col("l_orderkey").alias("sheet_id"), F.col("l_linenumber").alias("viewport"),
         F.concat((F.col("l_partkey") % 40).cast("string"), F.lit("'-6\"")).alias("dim_text"), F.col("l_quantity").alias("drawn_pts"),
         (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")).cast("double").alias("confidence"))

@@ -194,12 +194,12 @@ def _pii_sql(table: str, text: str, key: str) -> str:
 
 @query("M27", _pii_sql("documents", "text", "source"))
 def pii_inventory(t: Tables):
-    return ops.personal_data(t.documents, "text", ["source"])
+    return ops.personal_data(t.busy("documents", "source", "text", "doc_id"), "text", ["source"])
 
 
 @query("M27", _pii_sql("pages", "html", "page_id % 10"))
 def pii_inventory_pages(t: Tables):
-    return ops.personal_data(t.pages.withColumn("source", F.col("page_id") % 10), "html", ["source"])
+    return ops.personal_data(t.busy("pages").withColumn("source", F.col("page_id") % 10), "html", ["source"])
 
 
 @query("C15 A5", f"""WITH p AS ({a.SQL_PROJECTS}), s AS (SELECT o_orderkey, o_custkey, o_orderkey % 5 AS f FROM orders),

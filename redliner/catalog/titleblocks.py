@@ -50,14 +50,14 @@ def title_pages(t: Tables):
         F.lit(', santa rosa, ca", "bbox_frac": [0.25, 0.5, 0.5, 0.75]}, "designer_of_record": {"value": "Ann Bo", "bbox_frac": [1]}'),
         F.when(k % 7 == 0, "").otherwise("}"), F.when(k % 3 == 0, "\n```").otherwise(""),
     )
-    pages = t.orders.select(
+    pages = t.busy("orders", "o_orderkey").select(
         k.alias("document_id"), F.lit(1).alias("page"), w.alias("width"), h.alias("height"),
         F.array(*spans, *noise).alias("spans"),
         F.when(k % 6 == 0, "Licensed  Architect").otherwise("none").alias("full_text"),
         F.array(F.struct((k % 400).cast("int").alias("w"), (k % 400 + 5).cast("int").alias("h"))).alias("images"),
         F.concat(other_number, F.lit(" "), other_street, F.lit(", Santa Rosa, CA")).alias("canonical_address"),
     )
-    responses = t.orders.filter(k % 2 == 0).select(k.alias("document_id"), F.lit(1).alias("page"), answer.alias("response_json"))
+    responses = t.busy("orders", "o_orderkey").filter(k % 2 == 0).select(k.alias("document_id"), F.lit(1).alias("page"), answer.alias("response_json"))
     return pages, responses
 
 

@@ -20,23 +20,23 @@ def is_zero_box(b: Column) -> Column:
     return b == zero_box()
 
 
-def _number(c: Column) -> Column:
-    return F.when(c != "", c).try_cast("double")
+# feet, whole inches, and a fraction of an inch; every part may be missing
+DIMENSION = (
+    r"^\s*(?:(\d+(?:\.\d+)?)\s*(?:'|ft)[\s-]*)?"
+    r"(?:(\d+(?:\.\d+)?)(?=\s+\d+\s*/|\s*(?:\"|in)))?\s*"
+    r"(?:(\d+)\s*/\s*(\d+)\s*(?:\"|in))?[\s\S]*$"
+)
 
 
 def parse_dimension(c: Column) -> Column:
     """Architectural length to inches: ``24'-6 1/2"``, ``24ft-6in``, ``24.5'``, ``5/8"``; null if unreadable."""
     text = F.translate(c, "’′”″", "''\"\"")
-    feet = _number(F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*(?:'|ft)", 1))
-    rest = F.regexp_replace(text, r"^\s*\d+(?:\.\d+)?\s*(?:'|ft)[\s-]*", "")
-    whole = _number(F.regexp_extract(rest, r"^\s*(\d+(?:\.\d+)?)(?:\s+\d+\s*/|\s*(?:\"|in))", 1))
-    over = _number(F.regexp_extract(rest, r"(\d+)\s*/\s*(\d+)\s*(?:\"|in)", 1))
-    under = _number(F.regexp_extract(rest, r"(\d+)\s*/\s*(\d+)\s*(?:\"|in)", 2))
+    # one pass of the pattern writes the four parts, which are then plain numbers
+    parts = F.split(F.regexp_replace(text, DIMENSION, "$1|$2|$3|$4"), r"\|")
+    feet, whole, over, under = (F.get(parts, F.lit(i)).try_cast("double") for i in range(4))
     part = F.try_divide(over, under)
-    total = (
-        F.coalesce(feet, F.lit(0.0)) * 12.0 + F.coalesce(whole, F.lit(0.0)) + F.coalesce(part, F.lit(0.0))
-    )
-    return F.when(feet.isNotNull() | whole.isNotNull() | part.isNotNull(), total)
+    total = F.coalesce(feet, F.lit(0.0)) * 12.0 + F.coalesce(whole, F.lit(0.0)) + F.coalesce(part, F.lit(0.0))
+    return F.when(F.coalesce(feet, whole, part).isNotNull(), total)
 
 
 def parse_scale(c: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redliner.operators.scan import every, last_value, ordered_scan, running_max
+from redliner.operators.scan import every, next_value, ordered_scan, running_max
 
 
 def _strips(df: DataFrame, strip: float) -> DataFrame:
@@ -33,15 +33,9 @@ def overlapping(boxes: DataFrame, sheet: Sequence[str], box_id: str, strip: floa
     keys = [*sheet, "x1", "y1", "x2", "y2"]
     distinct = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
     cut = _strips(distinct, strip)
-    order = [F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2")]
-    forward = ordered_scan(
-        cut, [*sheet, "strip"], order, every(F.col("x1"), width),
-        {"reach": running_max(F.col("x2"), inclusive=False)},
-    )
-    # The next box to start is the previous one when walking right to left.
     both = ordered_scan(
-        forward, [*sheet, "strip"], [-c for c in order], every(-F.col("x1"), width),
-        {"next_start": last_value(F.col("x1"), inclusive=False)},
+        cut, [*sheet, "strip"], [F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2")], every(F.col("x1"), width),
+        {"reach": running_max(F.col("x2"), inclusive=False), "next_start": next_value(F.col("x1"))},
     )
     touched = (
         (F.col("copies") > 1) | (F.col("reach") > F.col("x1")) | (F.col("next_start") < F.col("x2"))

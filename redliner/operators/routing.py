@@ -26,27 +26,19 @@ def shortest_to_sources(
     both = edges.select(*sheet, "a", "b", "length").unionByName(
         edges.select(*sheet, F.col("b").alias("a"), F.col("a").alias("b"), "length")
     )
-    steps = both.groupBy(*sheet, "a", "b").agg(F.min("length").alias("length"))
+    # read by every round, so it is computed once
+    steps = durable(both.groupBy(*sheet, "a", "b").agg(F.min("length").alias("length")))
     best = durable(
         sources.select(*sheet, "node").distinct().withColumn("distance", F.lit(0.0)).withColumn("fresh", F.lit(True))
     )
     for _ in range(max_rounds):
-        moved = (
-            best.filter("fresh")
-            .join(steps.withColumnRenamed("a", "node"), [*sheet, "node"], "inner")
-            .groupBy(*sheet, F.col("b").alias("node"))
-            .agg(F.min(F.col("distance") + F.col("length")).alias("offer"))
-        )
-        merged = best.drop("fresh").join(moved, [*sheet, "node"], "full_outer")
-        better = F.col("offer").isNotNull() & (F.col("distance").isNull() | (F.col("offer") < F.col("distance")))
-        best = durable(
-            merged.select(
-                *sheet,
-                "node",
-                F.when(better, F.col("offer")).otherwise(F.col("distance")).alias("distance"),
-                better.alias("fresh"),
-            )
+        moved = best.filter("fresh").join(steps.withColumnRenamed("a", "node"), [*sheet, "node"], "inner").select(
+            *sheet, F.col("b").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), F.lit(None).cast("double").alias("old")
         )
+        # one aggregation keeps the shortest of the old distance and all offers
+        both = best.select(*sheet, "node", "distance", F.col("distance").alias("old")).unionByName(moved)
+        shortest = both.groupBy(*sheet, "node").agg(F.min("distance").alias("distance"), F.min("old").alias("old"))
+        best = durable(shortest.withColumn("fresh", F.col("old").isNull() | (F.col("distance") < F.col("old"))).drop("old"))
         if best.filter("fresh").isEmpty():
             return best.drop("fresh")
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")

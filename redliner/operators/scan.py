@@ -45,6 +45,11 @@ def last_value(value: Column, inclusive: bool = True) -> Step:
     return Step("last", value, inclusive)
 
 
+def next_value(value: Column) -> Step:
+    """Value of the row after this one; the value must not be null."""
+    return Step("next", value, False)
+
+
 def every(column: Column, width: int) -> Column:
     """Chunk number for an integer or fractional ordering column."""
     return F.floor(column / width)
@@ -102,6 +107,9 @@ def ordered_scan(
             local[name] = F.last(value, ignorenulls=True).over(frame)
             at = F.when(value.isNotNull(), F.struct(*order_names))
             summary.append(F.max_by(value, at).alias(f"__s_{name}"))
+        elif step.kind == "next":
+            local[name] = F.lead(value).over(inside)
+            summary.append(F.min_by(value, F.struct(*order_names)).alias(f"__s_{name}"))
         else:
             raise ValueError(step.kind)
 
@@ -115,6 +123,8 @@ def ordered_scan(
             lifted.append(F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"__f_{name}"))
         elif step.kind == "max":
             lifted.append(F.max(s).over(before).alias(f"__f_{name}"))
+        elif step.kind == "next":
+            lifted.append(F.lead(s).over(across.orderBy("__chunk")).alias(f"__f_{name}"))
         else:
             lifted.append(F.last(s, ignorenulls=True).over(before).alias(f"__f_{name}"))
     offsets = offsets.select(*keys, "__chunk", *lifted)

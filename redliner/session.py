@@ -33,6 +33,16 @@ def local_session(cores: str = "8", shuffle_partitions: int | None = None, **con
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give row work that burns CPU at least one task per core.
+
+    A scan with fewer splits than cores (a few small files) is hash-partitioned
+    first; anything larger passes through untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def durable_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 

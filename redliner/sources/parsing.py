@@ -36,7 +36,7 @@ def classify_document(text: Column) -> Column:
     hits = F.array(
         *[
             F.struct(
-                F.size(F.regexp_extract_all(F.lower(text), F.lit(f"({words})"), F.lit(1))).alias("n"),
+                F.regexp_count(F.lower(text), F.lit(words)).alias("n"),
                 F.lit(-i).alias("rank"),
                 F.lit(name).alias("name"),
             )
