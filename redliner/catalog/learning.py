@@ -205,18 +205,20 @@ def amendment_coverage(t: Tables):
     return ln.amendment_coverage(o.filter(F.col("o_orderstatus") != "P"), o.filter(F.col("o_orderstatus") == "P"))
 
 
-@query("D30 M25", """WITH p AS (SELECT p_partkey AS pack, p_size % 30 AS ex, p_size % 3 AS src FROM part), l AS (SELECT l_partkey AS pack, count(*) FILTER (WHERE l_suppkey % 20 = 0) AS unlinked FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+@query("D30 M25", """WITH p AS (SELECT p_partkey AS pack, p_size % 30 AS ex, p_size % 3 AS src FROM part), am AS (SELECT p_partkey AS pack, unnest([p_partkey % 120, p_partkey % 130, p_size]) AS base FROM part),
+l AS (SELECT pack, count(*) FILTER (WHERE base NOT IN (SELECT s_suppkey FROM supplier)) AS unlinked FROM am GROUP BY 1)
 SELECT pack::VARCHAR AS pack_id, ex AS examples, CASE WHEN src = 0 THEN 1 ELSE 0 END AS unsourced_policies, coalesce(unlinked, 0) AS unlinked_amendments, ex >= 20 AND src <> 0 AND coalesce(unlinked, 0) = 0 AS ready FROM p LEFT JOIN l USING (pack)""")
 def pack_readiness(t: Tables):
     from redliner.sources import packs
 
-    am = t.lineitem.filter(F.col("l_linenumber") == 1).groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_list(F.struct(
-        F.col("l_suppkey").cast("string").alias("base_section_id"), F.lit("append").alias("operation"), F.lit("t").alias("amendment_text"),
-        F.lit(None).cast("date").alias("effective_date"), F.lit(None).cast("string").alias("superseded_by"))).alias("amendments"))
+    bases = F.array(F.col("p_partkey") % 120, F.col("p_partkey") % 130, F.col("p_size").cast("long"))
+    am = F.transform(bases, lambda b: F.struct(
+        b.cast("string").alias("base_section_id"), F.lit("append").alias("operation"), F.lit("t").alias("amendment_text"),
+        F.lit(None).cast("date").alias("effective_date"), F.lit(None).cast("string").alias("superseded_by")))
     src = F.when(F.col("p_size") % 3 != 0, "http://city.example/policy")
     policy = F.struct(F.lit("p").alias("title"), F.lit("b").alias("body_text"), src.alias("source_url"), F.array(F.lit("x")).alias("applies_to_sections"))
-    frame = t.part.join(am, "p_partkey", "left").select(
-        F.col("p_partkey").cast("string").alias("pack_id"), F.lit("j").alias("jurisdiction"), F.lit("1").alias("version"), "amendments",
+    frame = t.part.select(
+        F.col("p_partkey").cast("string").alias("pack_id"), F.lit("j").alias("jurisdiction"), F.lit("1").alias("version"), am.alias("amendments"),
         F.array(policy).alias("agency_policies"), F.array_repeat(F.lit("e"), (F.col("p_size") % 30)).alias("drafter_examples"))
-    sections = t.supplier.filter(F.col("s_suppkey") % 20 != 0).select(F.col("s_suppkey").cast("string").alias("canonical_id"))
+    sections = t.supplier.select(F.col("s_suppkey").cast("string").alias("canonical_id"))
     return packs.pack_readiness(frame, sections)

@@ -123,14 +123,13 @@ def routed_egress(t: Tables):
 @query("L6 H31 ARCH-EGRESS-020", """WITH p AS (SELECT l_suppkey AS s, l_quantity AS x, (l_partkey % 50)::DOUBLE AS y FROM lineitem GROUP BY 1, 2, 3),
 d AS (SELECT s, sqrt(50.0 * 50 + (s % 30 + 20) * (s % 30 + 20)) AS diagonal FROM (SELECT DISTINCT s FROM p))
 SELECT a.s AS sheet_id, round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) AS farthest, round(max(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) / d.diagonal, 6) AS separation
-FROM p a JOIN p b ON a.s = b.s JOIN d ON d.s = a.s WHERE a.s % 2 = 0 GROUP BY a.s, d.diagonal
+FROM p a JOIN p b ON a.s = b.s JOIN d ON d.s = a.s GROUP BY a.s, d.diagonal
 UNION ALL SELECT l_orderkey + 1000000, round(max(sqrt((a.l_quantity - b.q) ** 2 + (a.l_partkey % 50 - b.y) ** 2)), 6), NULL FROM lineitem a JOIN (SELECT l_orderkey AS k, l_quantity AS q, l_partkey % 50 AS y FROM lineitem) b ON a.l_orderkey = b.k GROUP BY 1""")
 def exit_separation(t: Tables):
     points = t.lineitem.select(F.col("l_suppkey").alias("sheet_id"), F.col("l_quantity").alias("x"), (F.col("l_partkey") % 50).cast("double").alias("y"))
-    even = points.filter(F.col("sheet_id") % 2 == 0)
     k = F.col("sheet_id") % 30 + 20
-    floors = even.select("sheet_id").distinct().withColumn("diagonal", F.sqrt(F.lit(2500.0) + k * k))
-    big = m.exit_separation(even, floors).select("sheet_id", F.round("farthest", 6).alias("farthest"), F.round("separation", 6).alias("separation"))
+    floors = points.select("sheet_id").distinct().withColumn("diagonal", F.sqrt(F.lit(2500.0) + k * k))
+    big = m.exit_separation(points, floors).select("sheet_id", F.round("farthest", 6).alias("farthest"), F.round("separation", 6).alias("separation"))
     small = m.farthest_pair(
         t.lineitem.select((F.col("l_orderkey") + 1000000).alias("sheet_id"), F.col("l_quantity").alias("x"), (F.col("l_partkey") % 50).cast("double").alias("y")), ["sheet_id"])
     return big.unionByName(small.select("sheet_id", F.round("farthest", 6).alias("farthest"), F.lit(None).cast("double").alias("separation")))
@@ -174,12 +173,12 @@ def member_spans(t: Tables):
     return m.member_spans(b, ["sheet_id", "member"], 100.0).drop("previous")
 
 
-@query("L13", """WITH b AS (SELECT l_partkey AS space, l_returnflag AS f, arg_max(l_quantity, (1 - l_discount, l_quantity)) AS h FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1, 2)
+@query("L13", """WITH b AS (SELECT l_orderkey AS space, l_returnflag AS f, arg_max(l_quantity, (1 - l_discount, l_quantity)) AS h FROM lineitem GROUP BY 1, 2)
 SELECT space, coalesce(max(h) FILTER (WHERE f = 'A'), max(h) FILTER (WHERE f = 'N'), max(h) FILTER (WHERE f = 'R')) AS height_in,
   CASE WHEN count(*) FILTER (WHERE f = 'A') > 0 THEN 'plan' WHEN count(*) FILTER (WHERE f = 'N') > 0 THEN 'section' ELSE 'elevation' END AS source FROM b GROUP BY 1""")
 def space_heights(t: Tables):
-    rows = t.lineitem.filter(F.col("l_suppkey") % 3 == 0).select(
-        F.col("l_partkey").alias("space"), "l_returnflag", F.col("l_quantity").alias("height_in"), (1 - F.col("l_discount")).alias("confidence"))
+    rows = t.lineitem.select(
+        F.col("l_orderkey").alias("space"), "l_returnflag", F.col("l_quantity").alias("height_in"), (1 - F.col("l_discount")).alias("confidence"))
     side = {f: rows.filter(F.col("l_returnflag") == f) for f in "ANR"}
     return m.heights(side["A"], side["N"], side["R"], ["space"])
 

@@ -123,8 +123,8 @@ def remediation_queue(t: Tables):
     return q.select("project_id", "finding_id", r.designer_severity(F.col("severity")).alias("label"), "queue_position")
 
 
-SQL_CHECK = """q AS (SELECT item_id, item_id AS sheet, CASE WHEN item_id % 2 = 0 THEN '>=' ELSE '<=' END AS cmp, CASE WHEN item_id % 2 = 0 THEN item_id % 4 ELSE 46 + item_id % 5 END AS threshold FROM benchmark),
-m AS (SELECT l_partkey % 60 AS sheet, min(l_quantity) AS lo, max(l_quantity) AS hi, min(1 - l_discount::DECIMAL(4,2))::DOUBLE AS c FROM lineitem WHERE l_suppkey % 20 = l_partkey % 20 GROUP BY 1),
+SQL_CHECK = """q AS (SELECT item_id, item_id * 60 AS sheet, CASE WHEN item_id % 2 = 0 THEN '>=' ELSE '<=' END AS cmp, CASE WHEN item_id % 2 = 0 THEN item_id % 4 ELSE 46 + item_id % 5 END AS threshold FROM benchmark),
+m AS (SELECT l_partkey AS sheet, min(l_quantity) AS lo, max(l_quantity) AS hi, min(1 - l_discount::DECIMAL(4,2))::DOUBLE AS c FROM lineitem GROUP BY 1),
 j AS (SELECT q.*, CASE WHEN cmp = '>=' THEN lo ELSE hi END AS value, c FROM q LEFT JOIN m USING (sheet)),
 s AS (SELECT *, CASE WHEN value IS NULL THEN 'unknown' WHEN c < 0.9 AND item_id % 3 = 0 THEN 'amber' WHEN (cmp = '>=' AND value >= threshold) OR (cmp = '<=' AND value <= threshold) THEN 'green' ELSE 'red' END AS status FROM j)"""
 
@@ -132,10 +132,10 @@ s AS (SELECT *, CASE WHEN value IS NULL THEN 'unknown' WHEN c < 0.9 AND item_id
 def checklist(t: Tables):
     i = F.col("item_id")
     questions = t.benchmark.select(
-        i, i.alias("sheet"), F.when(i % 2 == 0, ">=").otherwise("<=").alias("comparison"), F.when(i % 2 == 0, i % 4).otherwise(46 + i % 5).alias("threshold"),
+        i, (i * 60).alias("sheet"), F.when(i % 2 == 0, ">=").otherwise("<=").alias("comparison"), F.when(i % 2 == 0, i % 4).otherwise(46 + i % 5).alias("threshold"),
         F.when(i % 3 == 0, 0.9).otherwise(0.0).alias("min_confidence"))
-    measures = t.lineitem.filter(F.col("l_suppkey") % 20 == F.col("l_partkey") % 20).select(
-        (F.col("l_partkey") % 60).alias("sheet"), F.col("l_quantity").alias("value"), (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")).cast("double").alias("confidence"))
+    measures = t.lineitem.select(
+        F.col("l_partkey").alias("sheet"), F.col("l_quantity").alias("value"), (F.lit(1) - F.col("l_discount").cast("decimal(4,2)")).cast("double").alias("confidence"))
     return rv.checklist_answers(questions, measures, ["sheet"])
 
 

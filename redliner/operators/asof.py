@@ -101,27 +101,14 @@ def nearest_join(
     Ties go to the lower position, then to the smaller ``take`` tuple. ``take``
     must contain ``right_at``. Left rows need a unique row tuple.
     """
+    # one row per position, the smallest tuple of those that share it
+    marks = right.groupBy(*keys, right_at).agg(F.min(F.struct(*[F.col(c) for c in take])).alias("__m"))
+
     def step(rows: DataFrame, sign: int, tag: str) -> DataFrame:
-        marked = right.select(*keys, right_at, *[c for c in take if c != right_at])
-        if sign > 0:
-            # the smallest tuple among rows at the same position must come last
-            marked = marked.groupBy(*keys, right_at).agg(
-                F.min(F.struct(*[F.col(c) for c in take])).alias("__m")
-            )
-        else:
-            marked = marked.groupBy(*keys, right_at).agg(
-                F.min(F.struct(*[F.col(c) for c in take])).alias("__m")
-            )
-        out = asof_join(
-            rows,
-            marked.withColumnRenamed("__m", tag),
-            keys,
-            F.col(left_at) * sign,
-            F.col(right_at) * sign,
-            [tag],
+        return asof_join(
+            rows, marks.withColumnRenamed("__m", tag), keys, F.col(left_at) * sign, F.col(right_at) * sign, [tag],
             lambda at: F.floor(at / width),
         )
-        return out
 
     both = step(step(left, 1, "__below"), -1, "__above")
     below, above = F.col("__below"), F.col("__above")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from redliner.operators.asof import asof_join, validity_intervals
 from redliner.operators.scan import every, ordered_scan, paged, position
+from redliner.session import durable
 
 KEY = ["canonical_id", "jurisdiction", "as_of"]
 
@@ -102,8 +103,9 @@ def applicable_text(fragments: DataFrame, fragments_per_part: int = 1000) -> Dat
 def lookup_sections(requests: DataFrame, sections: DataFrame, amendments: DataFrame) -> DataFrame:
     """Section lookup for (code, section) requests: unamended and applicable text per distinct key."""
     keys = requests.select(*KEY).distinct()
-    base = section_as_of(keys, sections)
-    fragments = folded_fragments(keys, base, amendments)
+    # both are read several times below and are small next to the requests
+    base = durable(section_as_of(keys, sections))
+    fragments = durable(folded_fragments(base, base, amendments))
     text = applicable_text(fragments)
     n = fragments.groupBy(*KEY).agg(F.count("amendment_id").alias("n_amendments"))
     return base.select(*KEY, "section_id", F.col("body_text").alias("unamended_text")).join(n, KEY, "left").join(text, KEY, "left")
@@ -112,11 +114,11 @@ def lookup_sections(requests: DataFrame, sections: DataFrame, amendments: DataFr
 def retrieval_chain(requests: DataFrame, sections: DataFrame, amendments: DataFrame, policies: DataFrame) -> DataFrame:
     """How each lookup got its answer, one row per step: section, amendments in order, policies."""
     keys = requests.select(*KEY).distinct()
-    base = section_as_of(keys, sections)
+    base = durable(section_as_of(keys, sections))
     state = base.select(*KEY, F.lit(1).alias("stage"), F.lit(0).cast("long").alias("ord"), F.lit("state_section").alias("kind"), F.col("section_id").cast("string").alias("ref"))
-    applied = folded_fragments(keys, base, amendments).filter(F.col("amendment_id").isNotNull()).select(
+    applied = folded_fragments(base, base, amendments).filter(F.col("amendment_id").isNotNull()).select(
         *KEY, F.lit(2).alias("stage"), F.col("pos").alias("ord"), F.lit("amendment").alias("kind"), F.col("amendment_id").cast("string").alias("ref"))
-    advisory = keys.join(policies_of_sections(policies), ["canonical_id"]).select(
+    advisory = base.select(*KEY).join(policies_of_sections(policies), ["canonical_id"]).select(
         *KEY, F.lit(3).alias("stage"), F.lit(0).cast("long").alias("ord"), F.lit("policy").alias("kind"), F.col("policy_id").cast("string").alias("ref"))
     return state.unionByName(applied).unionByName(advisory)
 
@@ -206,8 +208,8 @@ def search_many(
     """Top-k sections per query vector in one pass over the sections.
 
     The queries come with the call and travel as a constant. Each Arrow batch is
-    scored as one matrix product and keeps k rows per query, so the final
-    ranking sees k rows per batch and query.
+    scored as one matrix product; a task carries its k best rows per query from
+    batch to batch, so the final ranking sees k rows per task and query.
     """
     import numpy as np
 
@@ -217,6 +219,7 @@ def search_many(
     def score(batches):
         import pandas as pd
 
+        best = [(np.empty(0, "int64"), np.empty(0)) for _ in ids]
         for batch in batches:
             if batch.empty:
                 continue
@@ -225,15 +228,18 @@ def search_many(
             norms[norms == 0] = np.inf
             scores = (vectors @ matrix.T) / norms[:, None]
             row_ids = batch[id_column].to_numpy()
-            for j, query_id in enumerate(ids):
-                top = np.lexsort((row_ids, -scores[:, j]))[:k]
-                yield pd.DataFrame({"query_id": query_id, id_column: row_ids[top], "score": scores[top, j]})
+            for j, (kept_ids, kept_scores) in enumerate(best):
+                all_ids, all_scores = np.append(kept_ids, row_ids), np.append(kept_scores, scores[:, j])
+                top = np.lexsort((all_ids, -all_scores))[:k]
+                best[j] = all_ids[top], all_scores[top]
+        for query_id, (kept_ids, kept_scores) in zip(ids, best):
+            yield pd.DataFrame({"query_id": query_id, id_column: kept_ids, "score": kept_scores})
 
     local = sections.select(id_column, vector_column).mapInPandas(
         score, f"query_id long, {id_column} long, score double"
     )
     from pyspark.sql import Window
 
-    # k rows per batch and query at most: the window group is small
+    # k rows per task and query at most; the rank limit is applied before the shuffle too
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(id_column))
     return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

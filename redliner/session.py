@@ -50,10 +50,10 @@ def durable_folder(spark: SparkSession) -> str:
     unset (tests, laptops) a fresh folder is made and named there.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="redliner-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="redliner-checkpoint-"))
+        named = context.getCheckpointDir()
     return named
 
 

@@ -218,3 +218,47 @@ def test_paragraphs_and_extractor_contract(spark):
     assert [r["body"] for r in parsing.split_paragraphs(df, "id", "text").orderBy("paragraph_no").collect()] == ["One\nline", "Two", "Three"]
     ex = findings.Extractor("paragraphs", "1.0.0", lambda d: parsing.split_paragraphs(d, "id", "text"), ("id", "body", "extractor_version"))
     assert ex(df).first()["extractor_version"] == "paragraphs:1.0.0"
+
+
+def test_read_queries(spark):
+    from redliner.plans import access
+
+    sheets = spark.createDataFrame([(1, "d:p001", 1), (1, "d:p002", 2), (2, "e:p001", 1)], "project_id long, sheet_id string, page int")
+    assert access.sheet_of_project(sheets, 1, "d:p002").count() == 1
+    assert access.sheet_of_project(sheets, 2, "d:p002").count() == 0
+    assert {r["project_id"]: r["first_sheet_id"] for r in access.first_sheet(sheets, ["project_id"]).collect()} == {1: "d:p001", 2: "e:p001"}
+    entities = spark.createDataFrame([("d:p001", "e1", "title_block", "{}", "2025-01-02", 0.7), ("d:p001", "e2", "title_block", "{}", "2025-01-01", 0.7)],
+                                     "sheet_id string, entity_id string, type string, payload string, created_at string, confidence double")
+    assert {r["sheet_id"]: r["entity_id"] for r in access.with_title_block(sheets, entities).collect()} == {"d:p001": "e1", "d:p002": None, "e:p001": None}
+    assert codekb.get_table(spark.createDataFrame([("CBC-TBL-508.4",), ("CBC-508.4",)], "canonical_id string"), "CBC-TBL-508.4").count() == 1
+
+
+def test_gate_of_a_project_without_sheets_is_unchecked(spark):
+    from redliner.plans import access
+
+    projects = spark.createDataFrame([(1,), (2,)], "project_id long")
+    sheets = spark.createDataFrame([(1, i) for i in range(19)], "project_id long, page int")
+    blocks = spark.createDataFrame([(1, "1966 Dennis Ln" if i == 3 else "2008 DENNIS LANE", i == 3) for i in range(19)], "project_id long, address string, address_mismatch boolean")
+    got = {(r["project_id"], r["check"]): r["verdict"] for r in access.ingest_gate(blocks, sheets, projects).collect()}
+    assert [got[1, c] for c in ("sheets", "addresses", "mismatches")] == ["PASS"] * 3
+    assert [got[2, c] for c in ("sheets", "addresses", "mismatches")] == ["UNCHECKED"] * 3
+
+
+def test_licensed_audit_and_citation_fidelity(spark):
+    from redliner.plans import ops
+
+    f = spark.createDataFrame([("STR-SHEAR-ADEQUACY", True), ("STR-SHEAR-ADEQUACY", False), ("PI-ADDR-001", False), ("FIRE-SEP-001", True)], "rule_id string, requires_licensed_review boolean")
+    assert ops.licensed_flag_audit(f).count() == 2
+    c = spark.createDataFrame([("a", "text"), ("b", "paraphrase"), ("z", "unknown")], "canonical_id string, frozen_text string")
+    stored = spark.createDataFrame([("a", "text"), ("b", "text")], "canonical_id string, applicable_text string")
+    assert {r["canonical_id"] for r in ops.citation_fidelity(c, stored, ["canonical_id"]).collect()} == {"b", "z"}
+
+
+def test_durable_writes_below_the_named_folder(spark):
+    from redliner.session import durable, durable_folder
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = durable_folder(spark)
+    assert folder == named or (named is None and folder == spark.sparkContext.getCheckpointDir())
+    kept = durable(spark.range(5))
+    assert kept.count() == 5 and all(f.replace("file:", "").lstrip("/").startswith(folder.replace("file:", "").lstrip("/")) for f in kept.inputFiles())
