@@ -114,10 +114,9 @@ SQL_EDITS = "e AS (SELECT a.conv_id * 1000 + a.turn AS finding_id, a.role AS rul
 
 def edits(t: Tables):
     # one mark per accented letter: the SQL side counts bytes
-    c = t.conversations.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    c = t.busy("conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     following = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("final"))
-    # partitioned by the join key: the distances are computed on all cores
-    return c.repartition("conv_id", "turn").join(following.repartition("conv_id", "turn"), ["conv_id", "turn"]).select(
+    return c.join(following, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("finding_id"), F.col("role").alias("rule_id"), F.col("text").alias("draft"), "final")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from redliner.functions.text import let
+
 # Code books that may prefix a citation, and each discipline's own book.
 CODE_BOOKS = ["CBC", "CRC", "CMC", "CPC", "CEC", "CEnC", "CFC", "CalGreen", "HSC", "NFPA"]
 DISCIPLINE_BOOK = {
@@ -29,9 +31,12 @@ CITATION = (
 def _suffixes(c: Column) -> Column:
     """``150.0(f)(2)`` -> ``150.0-f-2``."""
     dashed = F.regexp_replace(c, r"\(([A-Za-z0-9]+)\)", "-$1")
-    head = F.regexp_extract(dashed, r"^([^-]*(?:11B-[^-]*)?)", 1)
-    tail = F.substring(dashed, F.length(head) + 1, F.length(dashed))
-    return F.concat(head, F.lower(tail))
+
+    def lower_tail(d: Column) -> Column:
+        head = F.length(F.regexp_extract(d, r"^([^-]*(?:11B-[^-]*)?)", 1))
+        return F.concat(F.substring(d, F.lit(1), head), F.lower(F.substring(d, head + 1, F.length(d))))
+
+    return F.when(c.contains("("), let(dashed, lower_tail)).otherwise(c)
 
 
 def canonical_citation(c: Column, discipline: Column | None = None) -> Column:
@@ -41,25 +46,40 @@ def canonical_citation(c: Column, discipline: Column | None = None) -> Column:
     and energy sections with letter suffixes; a bare number belongs to the
     discipline's book, CBC when none is given.
     """
-    text = F.btrim(F.regexp_replace(c, "§", ""))
-    prefix = F.regexp_extract(text, "^(" + "|".join(CODE_BOOKS) + r")\b", 1)
-    body = F.btrim(F.regexp_replace(text, "^(?:" + "|".join(CODE_BOOKS) + r")\b[\s-]*", ""))
-    table = F.regexp_extract(body, r"^[Tt]able\s+(\d+[0-9.]*(?:\([0-9a-z]+\))*)$", 1)
-    number = F.regexp_extract(body, r"^((?:11B-)?[A-Z]?\d+(?:\.\d+)*[A-Z]?(?:\([A-Za-z0-9]+\))*)$", 1)
-    book = F.lit("CBC")
+    books = "|".join(CODE_BOOKS)
+    default = F.lit("CBC")
     if discipline is not None:
         pairs = [F.lit(x) for item in DISCIPLINE_BOOK.items() for x in item]
-        book = F.coalesce(F.try_element_at(F.create_map(*pairs), discipline), book)
-    own = F.when(prefix != "", prefix)
-    return (
-        F.when(table != "", F.concat(F.coalesce(own, F.lit("CBC")), F.lit("-TBL-"), _suffixes(table)))
-        .when(number == "", F.lit(None).cast("string"))
-        .when(own.isNotNull(), F.concat(own, F.lit("-"), _suffixes(number)))
-        .when(number.startswith("11B-"), F.concat(F.lit("CBC-"), _suffixes(number)))
-        .when(number.rlike(r"^R\d"), F.concat(F.lit("CRC-"), _suffixes(number)))
-        .when(number.rlike(r"^1\d\d\.\d+\([a-z]\)"), F.concat(F.lit("CEnC-"), _suffixes(number)))
-        .when(number.rlike(r"^\d"), F.concat(book, F.lit("-"), _suffixes(number)))
-    )
+        default = F.coalesce(F.try_element_at(F.create_map(*pairs), discipline), default)
+
+    def split_prefix(text: Column) -> Column:
+        return F.struct(
+            F.nullif(F.regexp_extract(text, rf"^({books})\b", 1), F.lit("")).alias("own"),
+            F.btrim(F.regexp_replace(text, rf"^(?:{books})\b[\s-]*", "")).alias("body"),
+        )
+
+    def split_body(p: Column) -> Column:
+        return F.struct(
+            p["own"].alias("own"),
+            F.regexp_extract(p["body"], r"^[Tt]able\s+(\d+[0-9.]*(?:\([0-9a-z]+\))*)$", 1).alias("table"),
+            F.regexp_extract(p["body"], r"^((?:11B-)?[A-Z]?\d+(?:\.\d+)*[A-Z]?(?:\([A-Za-z0-9]+\))*)$", 1).alias("number"),
+        )
+
+    def resolve(p: Column) -> Column:
+        own, table, number = p["own"], p["table"], p["number"]
+        book = (
+            F.when(own.isNotNull(), own)
+            .when(number.startswith("11B-"), "CBC")
+            .when(number.rlike(r"^R\d"), "CRC")
+            .when(number.rlike(r"^1\d\d\.\d+\([a-z]\)"), "CEnC")
+            .when(number.rlike(r"^\d"), default)
+        )
+        return F.when(table != "", F.concat(F.coalesce(own, F.lit("CBC")), F.lit("-TBL-"), _suffixes(table))).when(
+            number != "", F.concat(book, F.lit("-"), _suffixes(number))
+        )
+
+    text = F.btrim(F.regexp_replace(c, "§", ""))
+    return F.when(c.isNotNull(), let(let(let(text, split_prefix), split_body), resolve))
 
 
 def display_citation(canonical: Column) -> Column:

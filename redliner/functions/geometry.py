@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from redliner.functions.text import let
+
 ZERO_BOX = (0.0, 0.0, 0.0, 0.0)
 
 
@@ -32,19 +34,21 @@ def parse_dimension(c: Column) -> Column:
     """Architectural length to inches: ``24'-6 1/2"``, ``24ft-6in``, ``24.5'``, ``5/8"``; null if unreadable."""
     text = F.translate(c, "’′”″", "''\"\"")
     # one pass of the pattern writes the four parts, which are then plain numbers
-    parts = F.split(F.regexp_replace(text, DIMENSION, "$1|$2|$3|$4"), r"\|")
-    feet, whole, over, under = (F.get(parts, F.lit(i)).try_cast("double") for i in range(4))
-    part = F.try_divide(over, under)
-    total = F.coalesce(feet, F.lit(0.0)) * 12.0 + F.coalesce(whole, F.lit(0.0)) + F.coalesce(part, F.lit(0.0))
-    return F.when(F.coalesce(feet, whole, part).isNotNull(), total)
+    parts = F.transform(F.split(F.regexp_replace(text, DIMENSION, "$1|$2|$3|$4"), r"\|"), lambda p: p.try_cast("double"))
+
+    def inches(p: Column) -> Column:
+        feet, whole, over, under = (F.get(p, F.lit(i)) for i in range(4))
+        part = F.try_divide(over, under)
+        total = F.coalesce(feet, F.lit(0.0)) * 12.0 + F.coalesce(whole, F.lit(0.0)) + F.coalesce(part, F.lit(0.0))
+        return F.when(F.coalesce(feet, whole, part).isNotNull(), total)
+
+    return let(parts, inches)
 
 
 def parse_scale(c: Column) -> Column:
     """``1/4" = 1'-0"`` -> 48.0: real inches per drawn inch, null if unreadable."""
-    sides = F.split(c, "=", 2)
-    drawn = parse_dimension(F.btrim(F.get(sides, F.lit(0))))
-    real = parse_dimension(F.btrim(F.get(sides, F.lit(1))))
-    return F.try_divide(real, drawn)
+    sides = F.transform(F.split(c, "=", 2), lambda side: parse_dimension(F.btrim(side)))
+    return let(sides, lambda s: F.try_divide(F.get(s, F.lit(1)), F.get(s, F.lit(0))))
 
 
 def feet_inches(inches: Column) -> Column:

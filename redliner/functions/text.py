@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ STREET_END = (
 ADDRESS_JACCARD_FLOOR = 0.35
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a costly value once for several uses inside ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of any kind, not only blanks."""
     return F.btrim(c, F.lit(BLANKS))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from redliner.functions.geometry import box, is_zero_box, zero_box
-from redliner.functions.text import strip, token_jaccard, truthy
+from redliner.functions.text import let, strip, token_jaccard, truthy
 
 VERSION = "1.4.0"
 
@@ -120,11 +118,6 @@ def label_value(text: Column, name: str) -> Column:
     return strip(F.coalesce(*tries))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind a value once for several uses inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def text_field(low_value: Column, spans: Column) -> Column:
     """Give a matched value the box and the spelling of the first span that contains it."""
     home = F.get(F.filter(spans, lambda s: F.contains(s["low"], low_value)), F.lit(0))
