@@ -46,24 +46,30 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def durable_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The one the cluster names in ``spark.checkpoint.dir``; only when that is
-    unset (tests, laptops) a fresh folder is made and named there.
+    The one the cluster names in ``spark.checkpoint.dir``. Only a local master
+    may go without (tests, laptops): a fresh folder is made and named there.
+    On any other master executors write to their own disks, so a missing
+    setting is an error and no machine-local folder is made up.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="redliner-checkpoint-"))
         named = context.getCheckpointDir()
     return named
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Cut lineage: write the frame to the shared folder and read it back.
 
     The table survives lost executors, and the reader knows its size, so later
-    joins with a small result can still be broadcast.
+    joins with a small result can still be broadcast. ``codec`` names a Parquet
+    compression other than the session's.
     """
     spark = df.sparkSession
     path = f"{durable_folder(spark)}/redliner-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("compression", codec) if codec else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
