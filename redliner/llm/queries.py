@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.llm import pseudonyms, site_lines
+from redliner.llm import pseudonyms, setsketch, site_lines
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op2_setsketch_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle count, component and verdict of every document."""
+    return setsketch.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op4_site_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines that are boilerplate on their source."""
     return site_lines.drop_boilerplate(_table(spark, folder, "documents")).select("doc_id", "text", "lines_dropped")
@@ -21,5 +26,5 @@ def op10_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.pseudonymise(_table(spark, folder, "documents")).select("doc_id", "text", "values_changed")
 
 
-QUERIES = {f.__name__: f for f in (op4_site_line_dedup, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op2_setsketch_near_dedup, op4_site_line_dedup, op10_pii_pseudonyms)}
 SQL = {"op4_site_line_dedup": site_lines.oracle()}
