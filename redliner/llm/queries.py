@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.llm import pseudonyms, setsketch, site_lines
+from redliner.llm import pseudonyms, setsketch, site_lines, textcnn
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,10 +21,16 @@ def op4_site_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines.drop_boilerplate(_table(spark, folder, "documents")).select("doc_id", "text", "lines_dropped")
 
 
+def op6_text_cnn_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = _table(spark, folder, "documents")
+    return textcnn.score(docs, textcnn.fit(docs, _table(spark, folder, "labels")))
+
+
 def op10_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with personal values replaced by pseudonyms of the same format."""
     return pseudonyms.pseudonymise(_table(spark, folder, "documents")).select("doc_id", "text", "values_changed")
 
 
-QUERIES = {f.__name__: f for f in (op2_setsketch_near_dedup, op4_site_line_dedup, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op2_setsketch_near_dedup, op4_site_line_dedup, op6_text_cnn_toxicity, op10_pii_pseudonyms)}
 SQL = {"op4_site_line_dedup": site_lines.oracle()}
