@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.llm import pseudonyms, setsketch, site_lines, textcnn
+from redliner.llm import packing, pseudonyms, setsketch, site_lines, textcnn
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,10 +27,15 @@ def op6_text_cnn_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return textcnn.score(docs, textcnn.fit(docs, _table(spark, folder, "labels")))
 
 
+def op9_bin_completion_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a training sequence."""
+    return packing.pack(_table(spark, folder, "documents"))
+
+
 def op10_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with personal values replaced by pseudonyms of the same format."""
     return pseudonyms.pseudonymise(_table(spark, folder, "documents")).select("doc_id", "text", "values_changed")
 
 
-QUERIES = {f.__name__: f for f in (op2_setsketch_near_dedup, op4_site_line_dedup, op6_text_cnn_toxicity, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (op2_setsketch_near_dedup, op4_site_line_dedup, op6_text_cnn_toxicity, op9_bin_completion_packing, op10_pii_pseudonyms)}
 SQL = {"op4_site_line_dedup": site_lines.oracle()}

@@ -271,3 +271,17 @@ def _prefix_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = durable(prefix.filter("x.n > 1").select("id", "component", "x.item"))
     met = prefix.join(prefix.toDF("id2", "component2", "item"), "item")
     return met.filter("id < id2 and component <> component2").select("id", "id2")
+
+
+def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, that stand for their group of near duplicates.
+
+    Of rows that repeat an id with the same text one stays; rows without id and
+    documents without words all stay.
+    """
+    found = durable(near_duplicates(docs, id, text, percent))
+    dropped = durable(found.filter(~F.col("kept")).select(id).distinct())
+    repeated = durable(found.groupBy(id).agg(F.count("*").alias("n")).filter((F.col("n") > 1) & F.col(id).isNotNull()).select(id))
+    stay = docs.join(dropped, id, "left_anti").select(*docs.columns)
+    once = stay.join(repeated, id, "left_semi").select(*docs.columns).dropDuplicates([id, text])
+    return stay.join(repeated, id, "left_anti").select(*docs.columns).unionByName(once)
