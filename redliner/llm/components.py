@@ -26,24 +26,28 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return down.union(least.select("center", "m").toDF("u", "v"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, which hangs on none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select("v", F.lit(0), F.lit(1)))
+    node = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return node.filter((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0))).isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): for every node of the edges the least node that it can reach.
 
     Edges may repeat, point either way, loop or hold nulls (such edges count
     for nothing). Every round halves the depth of the trees, and each round's
-    edges are written to the shared folder. The loop ends when a round leaves
-    the edges as they were; then each node but the least hangs on it directly.
+    edges are written to the shared folder. The loop ends when all edges are
+    stars around the least node of their component.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct()
-    state, mark = durable(pairs), None
-    while True:
+    state = durable(pairs)
+    while not _are_stars(state):
         # both contractions keep (u, v) with u > v after orientation
         turned = _star(state, large=True).filter("u <> v").distinct()
         turned = _star(turned, large=False).filter("u <> v").distinct()
         state = durable(turned)
-        now = state.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            break
-        mark = now
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

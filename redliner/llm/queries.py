@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.llm import packing, pseudonyms, setsketch, site_lines, textcnn
+from redliner.llm import byte_bpe, huffman, packing, pseudonyms, setsketch, site_lines, textcnn
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_huffman_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from Huffman-coded files."""
+    return huffman.digests(_table(spark, folder, "documents"))
+
+
 def op2_setsketch_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Shingle count, component and verdict of every document."""
     return setsketch.near_duplicates(_table(spark, folder, "documents"))
@@ -27,6 +32,11 @@ def op6_text_cnn_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return textcnn.score(docs, textcnn.fit(docs, _table(spark, folder, "labels")))
 
 
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of the bytes decoded from them."""
+    return byte_bpe.digests(_table(spark, folder, "documents"))
+
+
 def op9_bin_completion_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a training sequence."""
     return packing.pack(_table(spark, folder, "documents"))
@@ -37,5 +47,8 @@ def op10_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.pseudonymise(_table(spark, folder, "documents")).select("doc_id", "text", "values_changed")
 
 
-QUERIES = {f.__name__: f for f in (op2_setsketch_near_dedup, op4_site_line_dedup, op6_text_cnn_toxicity, op9_bin_completion_packing, op10_pii_pseudonyms)}
+QUERIES = {f.__name__: f for f in (
+    op1_huffman_token_files, op2_setsketch_near_dedup, op4_site_line_dedup, op6_text_cnn_toxicity, op7_byte_bpe, op9_bin_completion_packing,
+    op10_pii_pseudonyms,
+)}
 SQL = {"op4_site_line_dedup": site_lines.oracle()}
