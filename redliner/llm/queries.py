@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.llm import byte_bpe, huffman, packing, pseudonyms, setsketch, site_lines, textcnn
+from redliner.llm import byte_bpe, gam, huffman, metric_join, packing, pseudonyms, setsketch, site_lines, textcnn, threshold_topk
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,11 +21,22 @@ def op2_setsketch_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch.near_duplicates(_table(spark, folder, "documents"))
 
 
+def op3_additive_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = _table(spark, folder, "documents")
+    return gam.score(docs, gam.fit(docs, _table(spark, folder, "labels")))
+
+
 def op4_site_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the lines that are boilerplate on their source."""
     return site_lines.drop_boilerplate(_table(spark, folder, "documents")).select("doc_id", "text", "lines_dropped")
 
 
+def op5_threshold_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best rows of every query vector."""
+    return threshold_topk.top_k(_table(spark, folder, "embeddings"))
+
+
 def op6_text_cnn_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = _table(spark, folder, "documents")
@@ -37,6 +48,11 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, folder, "documents"))
 
 
+def op8_metric_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, component and verdict of every vector."""
+    return metric_join.near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op9_bin_completion_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Every piece of every document with its place in a training sequence."""
     return packing.pack(_table(spark, folder, "documents"))
@@ -48,7 +64,7 @@ def op10_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_huffman_token_files, op2_setsketch_near_dedup, op4_site_line_dedup, op6_text_cnn_toxicity, op7_byte_bpe, op9_bin_completion_packing,
-    op10_pii_pseudonyms,
+    op1_huffman_token_files, op2_setsketch_near_dedup, op3_additive_quality, op4_site_line_dedup, op5_threshold_topk, op6_text_cnn_toxicity,
+    op7_byte_bpe, op8_metric_near_dedup, op9_bin_completion_packing, op10_pii_pseudonyms,
 )}
 SQL = {"op4_site_line_dedup": site_lines.oracle()}
