@@ -224,13 +224,13 @@ def ssn(value: Column, key: str) -> Column:
 
 
 def phone(value: Column, key: str) -> Column:
-    """The last ten digits are permuted (all after the first, if fewer); country code and separators stay.
+    """The last ten digits are permuted (all, if fewer); country code and separators stay.
 
     So one number keeps one pseudonym with and without its country code.
     """
 
     def moved(digits: Column) -> Column:
-        local = F.least(F.lit(10), F.length(digits) - 1)
+        local = F.least(F.lit(10), F.length(digits))
         head = F.substring(digits, F.lit(1), F.length(digits) - local)
         return _into(value, F.concat(head, permute_text(F.right(digits, local), key, "phone")), _is_digit)
 
@@ -270,11 +270,10 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEMO_KEY, chang
     Row by row, without a shuffle. Texts without a digit or one of @ = : are not
     searched further. A null text stays null and an empty one empty (0 changed); values
     that match a pattern but fail its check stay; repeated values and rows get
-    the same pseudonym; very long texts are treated whole; other columns pass
-    through, and ``changed`` must be a new name.
+    the same pseudonym; very long texts are treated whole; an empty table gives
+    an empty one. Other columns pass through, whatever their names; one that is
+    called like ``changed`` is replaced.
     """
-    if changed in docs.columns:
-        raise ValueError(f"there is a column {changed!r} already")
 
     def rebuilt(found: Column) -> Column:
         between = F.split(F.col(text), ANY, -1)
@@ -286,6 +285,6 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEMO_KEY, chang
     found = F.when(F.col(text).rlike("[0-9@=:]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     marked = docs.withColumn("__made", _let(found, rebuilt))
     return marked.select(
-        *[F.coalesce(F.col("__made.text"), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        *[F.coalesce(F.col("__made.text"), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != changed],
         F.coalesce(F.col("__made.n"), F.lit(0).cast("long")).alias(changed),
     )

@@ -57,11 +57,9 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
     page without boilerplate keeps its text to the byte. A null text stays null
     (0 dropped) and counts as a page; an empty text stays empty; rows with a
     null host form a host of their own; repeated rows are pages of their own;
-    an empty table gives an empty table. Other columns pass through, and
-    ``dropped`` must be a new name.
+    an empty table gives an empty table. Other columns pass through, whatever
+    their names; one that is called like ``dropped`` is replaced.
     """
-    if dropped in pages.columns:
-        raise ValueError(f"there is a column {dropped!r} already")
     hot = durable(boilerplate_lines(pages, text, host, ratio, min_pages)).select(
         F.col("host").alias("__hot_host"), F.col("hot").alias("__hot"))
     lines = F.split(F.col("__body"), "\n")
@@ -72,7 +70,7 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
     count = F.when(F.col("__kept").isNotNull(), F.size(lines) - F.size("__kept")).otherwise(0)
     return split.select(
         *[(F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.col(text)) if c == text
-           else F.col(f"`{c}`")).alias(c) for c in pages.columns],
+           else F.col(f"`{c}`")).alias(c) for c in pages.columns if c != dropped],
         count.cast("long").alias(dropped),
     )
 
@@ -81,13 +79,13 @@ def oracle(ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:
     """The same over ``documents`` in DuckDB SQL."""
     return f"""
     WITH lines AS (SELECT source, unnest(list_distinct(list_transform(
-             list_filter(string_split(text, chr(10)), l -> trim(l) <> ''), l -> trim(l)))) AS line FROM documents),
+             list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), lambda l: trim(l)))) AS line FROM documents),
     totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
     hot AS (SELECT s.source, list(s.line) AS hot FROM (SELECT source, line, count(*) AS n FROM lines GROUP BY ALL) s
             JOIN totals t ON s.source IS NOT DISTINCT FROM t.source
             WHERE s.n >= {min_pages} AND s.n > CAST({ratio} AS DOUBLE) * t.pages GROUP BY s.source),
     cut AS (SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines,
-            list_filter(string_split(d.text, chr(10)), l -> trim(l) = '' OR NOT list_contains(coalesce(h.hot, []), trim(l))) AS kept
+            list_filter(string_split(d.text, chr(10)), lambda l: trim(l) = '' OR NOT list_contains(coalesce(h.hot, []), trim(l))) AS kept
             FROM documents d LEFT JOIN hot h ON d.source IS NOT DISTINCT FROM h.source)
     SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE array_to_string(kept, chr(10)) END AS text,
            CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS lines_dropped FROM cut"""
