@@ -175,16 +175,17 @@ def active_version_calls(t: Tables):
     return access.active_versions(joined, F.col("ts")).groupBy("service", "version").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("D13 B19", f"""{WITH_ALL}
-SELECT s.project_id, coalesce(CASE WHEN sh.page % 4 > 0 THEN substr('ASM', (sh.page % 4)::INT, 1) END, '—') AS discipline, count(*) AS n_sheets,
-       string_agg(printf('p%03d', sh.page), ',' ORDER BY sh.page, sh.sheet_id) AS labels
-FROM sh JOIN d ON d.document_id = sh.document_id JOIN s ON s.submittal_id = d.submittal_id GROUP BY 1, 2""")
+@query("D13 B19", f"""{WITH_ALL}, q AS (
+SELECT s.project_id, coalesce(CASE WHEN sh.page % 4 > 0 THEN substr('ASM', (sh.page % 4)::INT, 1) END, '—') AS discipline, sh.page, sh.sheet_id
+FROM sh JOIN d ON d.document_id = sh.document_id JOIN s ON s.submittal_id = d.submittal_id),
+n AS (SELECT *, (row_number() OVER (PARTITION BY project_id, discipline ORDER BY page, sheet_id) - 1) // 500 + 1 AS part FROM q)
+SELECT project_id, discipline, part, count(*) AS n_sheets, string_agg(printf('p%03d', page), ',' ORDER BY page, sheet_id) AS labels FROM n GROUP BY 1, 2, 3""")
 def sheet_rail(t: Tables):
     letter = F.when(F.col("page") % 4 > 0, F.substring(F.lit("ASM"), F.col("page") % 4, F.lit(1)))
     sheets = scoped_sheets(t).withColumn("discipline_letter", letter).withColumn("sheet_raw", F.lit(None).cast("string"))
     rail = access.sheet_rail(sheets, ["project_id"])
     return rail.select(
-        "project_id", "discipline", F.size("sheets").cast("long").alias("n_sheets"),
+        "project_id", "discipline", "part", F.size("sheets").cast("long").alias("n_sheets"),
         F.array_join(F.transform("sheets", lambda x: x["label"]), ",").alias("labels"),
     )
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.session import spread
+from redliner.session import spread, workers_find_package
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -28,6 +28,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         # window starts and dates are read in UTC, whatever zone the session came with
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        workers_find_package(spark)
         self.spark = spark
         self.folder = folder.rstrip("/")
 

@@ -91,13 +91,15 @@ def amendment_fold(t: Tables):
     return folded.withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
 
 
-@query("L15 L16 L18 C9 C10", f"""WITH {SQL_FOLD}, x AS (SELECT canonical_id, jurisdiction, as_of, count(amendment_id) AS n_amendments, string_agg(fragment, chr(10) ORDER BY pos) AS txt FROM f GROUP BY 1, 2, 3)
-SELECT canonical_id, jurisdiction, strftime(as_of, '%Y-%m-%d') AS as_of, b2.section_id, b2.body_text AS unamended_text, n_amendments, md5(txt) AS applicable_md5
-FROM b2 JOIN x USING (canonical_id, jurisdiction, as_of)""")
+@query("L15 L16 L18 C9 C10", f"""WITH {SQL_FOLD}, n AS (SELECT canonical_id, jurisdiction, as_of, count(amendment_id) AS n_amendments FROM f GROUP BY 1, 2, 3),
+y AS (SELECT *, (row_number() OVER (PARTITION BY canonical_id, jurisdiction, as_of ORDER BY pos) - 1) // 1000 + 1 AS part FROM f WHERE fragment IS NOT NULL),
+x AS (SELECT canonical_id, jurisdiction, as_of, part, string_agg(fragment, chr(10) ORDER BY pos) AS txt FROM y GROUP BY 1, 2, 3, 4)
+SELECT canonical_id, jurisdiction, strftime(as_of, '%Y-%m-%d') AS as_of, b2.section_id, b2.body_text AS unamended_text, n_amendments, part, md5(txt) AS applicable_md5
+FROM b2 JOIN n USING (canonical_id, jurisdiction, as_of) LEFT JOIN x USING (canonical_id, jurisdiction, as_of)""")
 def lookup_section(t: Tables):
     found = kb.lookup_sections(lookups(t), sections(t), amendments(t))
     return found.select(
-        "canonical_id", "jurisdiction", F.date_format("as_of", "yyyy-MM-dd").alias("as_of"), "section_id", "unamended_text", "n_amendments",
+        "canonical_id", "jurisdiction", F.date_format("as_of", "yyyy-MM-dd").alias("as_of"), "section_id", "unamended_text", "n_amendments", "part",
         F.md5("applicable_text").alias("applicable_md5"))
 
 

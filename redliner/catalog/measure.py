@@ -224,9 +224,18 @@ def override_history(t: Tables):
     return m.override_history(actions, measures).drop("created_at")
 
 
-@query("L11")
+# fitted value at i = max over j <= i of min over k >= i of the weighted mean of points j..k
+SQL_ISOTONIC = """WITH r AS (SELECT l.doc_id, (d.n_chars % 1000) / 1000 AS c, l.quality AS kept FROM labels l JOIN documents d USING (doc_id)),
+p AS (SELECT row_number() OVER (ORDER BY c) AS i, c, w, s FROM (SELECT c, count(*) AS w, sum(kept) AS s FROM r GROUP BY c)),
+u AS (SELECT i, c, w, s, sum(w) OVER (ORDER BY i) AS wu, sum(s) OVER (ORDER BY i) AS su FROM p),
+m AS (SELECT a.i AS j, b.i AS k, (b.su - a.su + a.s)::DOUBLE / (b.wu - a.wu + a.w) AS mean FROM u a JOIN u b ON a.i <= b.i),
+f AS (SELECT k, max(least_after) AS fit FROM (SELECT j, k, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS least_after FROM m) GROUP BY k)
+SELECT r.doc_id, r.c AS confidence, round(f.fit, 6) AS recalibrated FROM r JOIN p ON r.c = p.c JOIN f ON f.k = p.i"""
+
+
+@query("L11", SQL_ISOTONIC)
 def isotonic_recalibration(t: Tables):
-    """Rows only: the fit has no SQL form. Confidence is read from the document length, correctness from its label."""
+    """Confidence is read from the document length, correctness from its label."""
     rows = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select(
         "doc_id", (F.col("n_chars") % 1000 / 1000).alias("confidence"), F.col("quality").alias("kept"))
     model = m.recalibrate(rows)

@@ -80,10 +80,10 @@ def error_rate_5min(t: Tables):
     return ops.error_windows(calls(t)).withColumn("window_start", stamp("window_start"))
 
 
-@query("I3 D14", f"""WITH w AS (SELECT unnest(generate_series(date_trunc('hour', ts) - INTERVAL 3 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS s, ts, round(value * 100)::BIGINT AS ms FROM events)
-SELECT strftime(s, '{TS}') AS window_start, count(*) AS calls, round(quantile_cont(ms, 0.99), 4) AS p99 FROM w WHERE ts < s + INTERVAL 4 HOUR GROUP BY 1""")
+@query("I3 D14", f"""WITH w AS (SELECT unnest(generate_series(date_trunc('minute', ts) - INTERVAL 4 MINUTE, date_trunc('minute', ts), INTERVAL 1 MINUTE)) AS s, ts, round(value * 100)::BIGINT AS ms FROM events)
+SELECT strftime(s, '{TS}') AS window_start, count(*) AS calls, round(quantile_cont(ms, 0.99), 4) AS p99 FROM w WHERE ts < s + INTERVAL 5 MINUTE GROUP BY 1""")
 def latency_p99_sliding(t: Tables):
-    w = F.window("ts", "4 hours", "1 hour")
+    w = F.window("ts", "5 minutes", "1 minute")
     per = calls(t).groupBy(w.alias("w"), "latency_ms").agg(F.count(F.lit(1)).alias("n")).groupBy("w").agg(
         F.sum("n").alias("calls"), F.round(F.percentile("latency_ms", F.lit(0.99), F.col("n")), 4).alias("p99"))
     return per.select(stamp("w.start").alias("window_start"), "calls", "p99")
@@ -97,10 +97,10 @@ def success_streak(t: Tables):
     return s.select("service", "island", "length", stamp("started_at").alias("started_at"), stamp("recovered_at").alias("recovered_at"))
 
 
-@query("I7 D11", f"""WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), m AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM l)
+@query("I7 D11", f"""WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events), m AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM l)
 SELECT user_id, session_no::BIGINT AS session_no, count(*) AS events, strftime(min(ts), '{TS}') AS started_at, strftime(max(ts), '{TS}') AS ended_at FROM m GROUP BY 1, 2""")
 def reviewer_sessions(t: Tables):
-    s = ops.sessions(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 6 * 3600)
+    s = ops.sessions(t.events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 30 * 60)
     return s.select("user_id", "session_no", "events", stamp("started_at").alias("started_at"), stamp("ended_at").alias("ended_at"))
 
 
@@ -118,10 +118,10 @@ def drain_plan(t: Tables):
     return ops.drain_plan(failed, 50).select("event_id", "fifo", "slot")
 
 
-@query("I6", f"""WITH {SQL_CALLS} SELECT user_id * 100 + event_id % 20 AS call_id, count_if(failed) AS failures FROM c GROUP BY 1 HAVING count_if(failed) >= 2 AND count_if(NOT failed) = 0""")
+@query("I6", f"""WITH {SQL_CALLS} SELECT user_id * 100 + event_id % 20 AS call_id, count_if(failed) AS failures FROM c GROUP BY 1 HAVING count_if(failed) >= 3 AND count_if(NOT failed) = 0""")
 def deferred_calls(t: Tables):
     c = calls(t).withColumn("call_id", F.col("user_id") * 100 + F.col("event_id") % 20)
-    return ops.deferred_calls(c, 2).select("call_id", "failures")
+    return ops.deferred_calls(c, 3).select("call_id", "failures")
 
 
 @query("I8", f"""WITH w AS (SELECT user_id % 10 AS service, date_trunc('day', ts) AS d, sum(value::DECIMAL(12,2)) AS v FROM events GROUP BY 1, 2),

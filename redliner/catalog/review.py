@@ -76,13 +76,13 @@ def unacted_findings(t: Tables):
     return rv.unacted(simple_findings(t), actions(t)).select("finding_id")
 
 
-@query("C20 M19 E12", f"""WITH {SQL_FINDINGS}, p AS (SELECT project_id, discipline, rule_id, sheet_id, tag, min(round) AS prev_round FROM f WHERE round <= 3 GROUP BY ALL),
-c AS (SELECT project_id, discipline, rule_id, sheet_id, tag, max(round) AS this_round FROM f WHERE round = 4 GROUP BY ALL)
+@query("C20 M19 E12", f"""WITH {SQL_FINDINGS}, p AS (SELECT project_id, discipline, rule_id, sheet_id, tag, min(round) AS prev_round FROM f WHERE round <= 6 GROUP BY ALL),
+c AS (SELECT project_id, discipline, rule_id, sheet_id, tag, max(round) AS this_round FROM f WHERE round = 7 GROUP BY ALL)
 SELECT project_id, discipline, rule_id, sheet_id, tag, CASE WHEN this_round IS NULL THEN 'closed' WHEN prev_round IS NULL THEN 'new' ELSE 're-raised' END AS status, coalesce(prev_round, this_round) AS first_round
 FROM p FULL OUTER JOIN c USING (project_id, discipline, rule_id, sheet_id, tag)""")
 def round_manager(t: Tables):
     f = findings(t)
-    return rv.compare_rounds(f.filter(F.col("round") <= 3), f.filter(F.col("round") == 4))
+    return rv.compare_rounds(f.filter(F.col("round") <= 6), f.filter(F.col("round") == 7))
 
 
 @query("E12 H29", f"""WITH {SQL_FINDINGS}, w AS (SELECT *, min(round) OVER (PARTITION BY project_id, discipline, rule_id, sheet_id, tag) AS first_round FROM f)
@@ -91,36 +91,35 @@ def issue_ages(t: Tables):
     return rv.issue_ages(findings(t)).select("finding_id", "first_round", "age", "typography")
 
 
-SQL_LETTER_NO = f"""{SQL_FINDINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY dr, sheet_id, finding_id) AS comment_number FROM f WHERE round = 1)"""
+SQL_LETTER_NO = f"""{SQL_FINDINGS}, n AS (SELECT *, row_number() OVER (PARTITION BY project_id, round ORDER BY dr, sheet_id, finding_id) AS comment_number FROM f)"""
 
 
 def letter(t: Tables):
-    f = findings(t).filter(F.col("round") == 1)
-    return rv.number_letter(f, ["project_id"], ["sheet_id", "finding_id"], every(F.col("sheet_id"), 10))
+    """One letter per project and round."""
+    return rv.number_letter(findings(t), ["project_id", "round"], ["sheet_id", "finding_id"], every(F.col("sheet_id"), 10))
 
 
-@query("E2 F3 M21", f"WITH {SQL_LETTER_NO} SELECT project_id, finding_id, discipline, comment_number FROM n")
+@query("E2 F3 M21", f"WITH {SQL_LETTER_NO} SELECT project_id, round, finding_id, discipline, comment_number FROM n")
 def letter_numbering(t: Tables):
-    return letter(t).select("project_id", "finding_id", "discipline", "comment_number")
+    return letter(t).select("project_id", "round", "finding_id", "discipline", "comment_number")
 
 
-@query("A14 M21", f"""WITH {SQL_LETTER_NO} SELECT project_id, (comment_number - 1) // 25 + 1 AS part, count(*) AS n_findings, min(comment_number) AS first_number, arg_max(finding_id, comment_number) AS last_finding FROM n GROUP BY 1, 2""")
+@query("A14 M21", f"""WITH {SQL_LETTER_NO} SELECT project_id, round, (comment_number - 1) // 25 + 1 AS part, count(*) AS n_findings, min(comment_number) AS first_number, arg_max(finding_id, comment_number) AS last_finding FROM n GROUP BY 1, 2, 3""")
 def letter_bundle(t: Tables):
-    rows = letter(t).select("project_id", "comment_number", "finding_id", "discipline", "severity")
-    bundle = rv.letter_bundle(rows, ["project_id"], 25)
+    rows = letter(t).select("project_id", "round", "comment_number", "finding_id", "discipline", "severity")
+    bundle = rv.letter_bundle(rows, ["project_id", "round"], 25)
     back = F.from_json("bundle", "findings array<struct<comment_number:bigint,finding_id:string>>")["findings"]
     return bundle.select(
-        "project_id", "part", F.col("n_findings").cast("long").alias("n_findings"), back[0]["comment_number"].alias("first_number"),
+        "project_id", "round", "part", F.col("n_findings").cast("long").alias("n_findings"), back[0]["comment_number"].alias("first_number"),
         F.element_at(back, -1)["finding_id"].alias("last_finding"))
 
 
-@query("F4 F5 H27", f"""WITH {SQL_FINDINGS}, q AS (SELECT * FROM f WHERE round = 2)
-SELECT project_id, finding_id, CASE severity WHEN 'revise' THEN 'attention' WHEN 'reference_only' THEN 'optional' ELSE 'recommend' END AS label,
-  row_number() OVER (PARTITION BY project_id ORDER BY list_position(['revise', 'provide', 'clarify', 'reference_only'], severity), confidence, finding_id) AS queue_position FROM q""")
+@query("F4 F5 H27", f"""WITH {SQL_FINDINGS}, q AS (SELECT * FROM f)
+SELECT project_id, round, finding_id, CASE severity WHEN 'revise' THEN 'attention' WHEN 'reference_only' THEN 'optional' ELSE 'recommend' END AS label,
+  row_number() OVER (PARTITION BY project_id, round ORDER BY list_position(['revise', 'provide', 'clarify', 'reference_only'], severity), confidence, finding_id) AS queue_position FROM q""")
 def remediation_queue(t: Tables):
-    f = findings(t).filter(F.col("round") == 2)
-    q = rv.remediation_queue(f, ["project_id"], "finding_id", F.floor(F.col("confidence") * 4))
-    return q.select("project_id", "finding_id", r.designer_severity(F.col("severity")).alias("label"), "queue_position")
+    q = rv.remediation_queue(findings(t), ["project_id", "round"], "finding_id", F.floor(F.col("confidence") * 4))
+    return q.select("project_id", "round", "finding_id", r.designer_severity(F.col("severity")).alias("label"), "queue_position")
 
 
 SQL_CHECK = """q AS (SELECT item_id, item_id * 60 AS sheet, CASE WHEN item_id % 2 = 0 THEN '>=' ELSE '<=' END AS cmp, CASE WHEN item_id % 2 = 0 THEN item_id % 4 ELSE 46 + item_id % 5 END AS threshold FROM benchmark),

@@ -11,16 +11,16 @@ from redliner.session import durable
 
 
 def shortest_to_sources(
-    edges: DataFrame, sources: DataFrame, sheet: Sequence[str], max_rounds: int = 64
+    edges: DataFrame, sources: DataFrame, sheet: Sequence[str]
 ) -> DataFrame:
     """Distance of every node to its nearest source, per sheet.
 
     ``edges`` has the sheet keys, ``a``, ``b`` and ``length``, read in both
     directions; ``sources`` has the sheet keys and ``node``. Only nodes that
     improved in the last round are relaxed again, each round is checkpointed,
-    and the loop ends when nothing improves. More than ``max_rounds`` rounds
-    raise an error instead of returning an unfinished answer. Unreachable nodes
-    do not appear.
+    and the loop ends when nothing improves, however long the paths are. That
+    happens for lengths that are not negative; a negative one is an error.
+    Unreachable nodes do not appear.
     """
     sheet = list(sheet)
     both = edges.select(*sheet, "a", "b", "length").unionByName(
@@ -31,7 +31,9 @@ def shortest_to_sources(
     best = durable(
         sources.select(*sheet, "node").distinct().withColumn("distance", F.lit(0.0)).withColumn("fresh", F.lit(True))
     )
-    for _ in range(max_rounds):
+    if not steps.filter("length < 0").isEmpty():
+        raise ValueError("edge lengths must not be negative")
+    while True:
         moved = best.filter("fresh").join(steps.withColumnRenamed("a", "node"), [*sheet, "node"], "inner").select(
             *sheet, F.col("b").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), F.lit(None).cast("double").alias("old")
         )
@@ -41,4 +43,3 @@ def shortest_to_sources(
         best = durable(shortest.withColumn("fresh", F.col("old").isNull() | (F.col("distance") < F.col("old"))).drop("old"))
         if best.filter("fresh").isEmpty():
             return best.drop("fresh")
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")

@@ -155,8 +155,9 @@ def paged(
 ) -> DataFrame:
     """Nest the rows of each group into arrays of at most ``page_size`` items.
 
-    Small groups give one row; a large group gives as many pages as it needs,
-    so no row and no task grows with the group.
+    ``part``, from 1, is a key of every result, whatever the size of a group: a
+    small group has part 1 only, a large one as many parts as it needs, so no
+    row and no task grows with the group.
     """
     numbered = ordered_scan(df.withColumn("__item", item), keys, order, chunk, {"__n": position()})
     page = numbered.withColumn("part", F.floor((F.col("__n") - 1) / page_size) + 1)

@@ -27,7 +27,10 @@ def section_validity(sections: DataFrame) -> DataFrame:
 def closing_dates(sections: DataFrame) -> DataFrame:
     """Sections with the effective date of an explicit superseder of any canonical id."""
     later = sections.select(F.col("section_id").alias("superseded_by_id"), F.col("effective_date").alias("closes_at"))
-    return sections.join(later, "superseded_by_id", "left")
+    # most sections have no superseder; they stay out of the join, where they would all meet in one task
+    named = F.col("superseded_by_id").isNotNull()
+    alone = sections.filter(~named).withColumn("closes_at", F.lit(None).cast(sections.schema["effective_date"].dataType))
+    return sections.filter(named).join(later, "superseded_by_id", "left").unionByName(alone)
 
 
 def section_as_of(requests: DataFrame, sections: DataFrame, take: Sequence[str] = ("section_id", "body_text")) -> DataFrame:
@@ -35,16 +38,21 @@ def section_as_of(requests: DataFrame, sections: DataFrame, take: Sequence[str]
 
     ``sections``: section_id, canonical_id, effective_date, superseded_by_id and
     the columns to take. Versions of one date resolve to the greatest section_id.
+    Only the different days of a section go through the ordered scan; requests
+    meet them by equality, so a section with most of the requests is no hot group.
     """
     closed = closing_dates(sections)
+    days = requests.select("canonical_id", F.col("as_of").cast("date").alias("as_of")).distinct()
     columns = ["effective_date", "section_id", "closes_at", *[c for c in take if c != "section_id"]]
     hit = asof_join(
-        requests, closed, ["canonical_id"], _days(F.col("as_of")), _days(F.col("effective_date")), columns,
+        days, closed, ["canonical_id"], _days(F.col("as_of")), _days(F.col("effective_date")), columns,
         lambda at: F.floor(at / 365),
     )
     in_force = F.col("closes_at").isNull() | (F.col("closes_at") > F.col("as_of").cast("date"))
     kept = [F.when(in_force, F.col(c)).alias(c) for c in columns if c != "closes_at"]
-    return hit.select(*requests.columns, *kept)
+    answer = hit.select(F.col("canonical_id").alias("__section"), F.col("as_of").alias("__day"), *kept)
+    same = (F.col("canonical_id") == F.col("__section")) & F.col("as_of").cast("date").eqNullSafe(F.col("__day"))
+    return requests.join(answer, same, "left").drop("__section", "__day")
 
 
 def amendments_in_force(requests: DataFrame, amendments: DataFrame) -> DataFrame:
@@ -135,9 +143,15 @@ def policies_of_sections(policies: DataFrame) -> DataFrame:
 
 
 def cross_references(sections: DataFrame, name: str = "cross_references") -> DataFrame:
-    """Each reference of a section with its target; a target that does not exist stays with null text."""
+    """Each reference of a section with its target; a target that does not exist stays with null text.
+
+    Of a target with several versions the latest is attached; pass the sections
+    in force on a date to expand references as of it.
+    """
     refs = sections.select("canonical_id", F.explode(name).alias("target_id")).distinct()
-    target = sections.select(F.col("canonical_id").alias("target_id"), F.col("title").alias("target_title"))
+    version = [c for c in ("effective_date", "section_id") if c in sections.columns]
+    latest = F.max_by("title", F.struct(*version, "title")).alias("target_title")
+    target = sections.groupBy(F.col("canonical_id").alias("target_id")).agg(latest)
     return refs.join(target, "target_id", "left").select("canonical_id", "target_id", "target_title")
 
 
@@ -170,12 +184,12 @@ def unit(vector: Sequence[float]) -> list[float]:
 
 
 def cosine(column: str, vector: Sequence[float]) -> Column:
-    """Cosine of a stored vector and a query vector given as a literal; stays in the JVM."""
+    """Cosine of a stored vector and a query vector given as a literal, 0 for a null or zero vector; stays in the JVM."""
     q = F.array(*[F.lit(float(v)) for v in unit(vector)])
     v = F.col(column).cast("array<double>")
     dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.try_divide(dot, norm)
+    return F.coalesce(F.try_divide(dot, norm), F.lit(0.0))
 
 
 def search_code(

@@ -11,7 +11,7 @@ from redliner.functions.review import is_stale_date, lookup, parse_date
 from redliner.functions.text import address_differs
 from redliner.operators.keyed import outliers
 from redliner.operators.overlap import overlapping
-from redliner.operators.scan import every, last_value, ordered_scan
+from redliner.operators.scan import every, last_value, ordered_scan, position
 from redliner.plans.findings import RuleBook, emit
 
 BOOK = RuleBook()
@@ -19,29 +19,43 @@ DISC = "plan_integrity"
 CITE = "CBC-107.2"
 
 
+def _repeats(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Number the rows of a key; chunks of the order keep a key of any size out of one task."""
+    known = rows.filter(F.col(keys[1]).isNotNull())
+    numbered = ordered_scan(
+        known.withColumn("__h", F.xxhash64(*order)), keys, [F.pmod("__h", F.lit(64)), *[F.col(c) for c in order]],
+        F.pmod("__h", F.lit(64)), {"repeat": position()}).drop("__h")
+    return numbered.unionByName(rows.filter(F.col(keys[1]).isNull()).withColumn("repeat", F.lit(None).cast("long")))
+
+
 def reconcile_index(index: DataFrame, sheets: DataFrame) -> DataFrame:
     """Sheet index against the set: missing, orphan, mismatched_id, mismatched_title and match.
 
     ``index``: project_id, ord, declared_id, declared_title. ``sheets``:
     project_id, ord, sheet_id, canonical_id, sheet_title. First by id; what is
-    left on both sides is compared by position. Ids are unique per project.
+    left on both sides is compared by position. Where an id or a position
+    repeats, the first entry meets the first sheet, the second the second, and
+    so on, so no row is multiplied or lost.
     """
     i = index.select("project_id", F.col("declared_id").alias("id"), "declared_id", "declared_title", F.col("ord").alias("index_ord"))
     s = sheets.select("project_id", F.col("canonical_id").alias("id"), "canonical_id", "sheet_title", "sheet_id", F.col("ord").alias("sheet_ord"))
-    by_id = i.join(s, ["project_id", "id"], "full_outer")
+    i = _repeats(i, ["project_id", "id"], ["index_ord", "declared_title"])
+    s = _repeats(s, ["project_id", "id"], ["sheet_ord", "sheet_id"])
+    by_id = i.join(s, ["project_id", "id", "repeat"], "full_outer")
     both = by_id.filter(F.col("declared_id").isNotNull() & F.col("canonical_id").isNotNull()).select(
         "project_id", "declared_id", "canonical_id", "declared_title", "sheet_title", "sheet_id",
         F.when(F.lower("declared_title").eqNullSafe(F.lower("sheet_title")), "match").otherwise("mismatched_title").alias("status"),
     )
-    rest = by_id.filter(F.col("declared_id").isNull() | F.col("canonical_id").isNull()).withColumn(
+    rest = by_id.filter(F.col("declared_id").isNull() | F.col("canonical_id").isNull()).drop("repeat").withColumn(
         "ord", F.coalesce("index_ord", "sheet_ord")
-    )
-    # One row per position: an unmatched index entry and an unmatched sheet at the same place fall together.
-    placed = rest.groupBy("project_id", "ord").agg(
+    ).withColumn("side", F.col("declared_id").isNull())
+    # An unmatched index entry and an unmatched sheet at the same place fall together.
+    rest = _repeats(rest, ["project_id", "ord", "side"], ["id", "declared_title", "sheet_id"])
+    placed = rest.groupBy("project_id", "ord", "repeat").agg(
         F.max("declared_id").alias("declared_id"), F.max("canonical_id").alias("canonical_id"),
         F.max("declared_title").alias("declared_title"), F.max("sheet_title").alias("sheet_title"),
         F.max("sheet_id").alias("sheet_id"),
-    )
+    ).drop("repeat")
     status = (
         F.when(F.col("declared_id").isNull(), "orphan").when(F.col("canonical_id").isNull(), "missing").otherwise("mismatched_id")
     )
@@ -51,16 +65,18 @@ def reconcile_index(index: DataFrame, sheets: DataFrame) -> DataFrame:
 def callouts_vs_schedule(callouts: DataFrame, rows: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Callouts without a row (provide), rows without a callout (clarify), differing sizes (revise).
 
-    Callouts are reduced to one row per key and size first, so a tag drawn many
-    times costs one row in the join.
+    A row of several sizes agrees with a callout of any of them; the least is
+    reported. Callouts are reduced to one row per key and size first, so a tag
+    drawn many times costs one row in the join.
     """
     c = callouts.groupBy(*keys, F.col(size).alias("callout_size")).agg(F.count(F.lit(1)).alias("n_callouts"))
     r = rows.groupBy(*keys).agg(F.min(size).alias("row_size"), F.lit(True).alias("has_row"))
-    both = c.join(r, keys, "full_outer")
+    sizes = rows.select(*keys, F.col(size).alias("callout_size"), F.lit(True).alias("agrees")).distinct()
+    both = c.join(sizes, [*keys, "callout_size"], "left").join(r, keys, "full_outer")
     status = (
         F.when(F.col("has_row").isNull(), "provide")
         .when(F.col("n_callouts").isNull(), "clarify")
-        .when(F.col("callout_size") != F.col("row_size"), "revise")
+        .when(F.col("agrees").isNull() & F.col("callout_size").isNotNull() & F.col("row_size").isNotNull(), "revise")
     )
     return both.withColumn("severity", status).filter(F.col("severity").isNotNull()).select(
         *keys, "callout_size", "row_size", F.coalesce("n_callouts", F.lit(0)).cast("long").alias("n_callouts"), "severity"

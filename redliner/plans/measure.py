@@ -132,9 +132,9 @@ def egress_straight(points: DataFrame, exits: DataFrame) -> DataFrame:
     return joined.groupBy("sheet_id").agg(F.max(g.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey"))).alias("travel"))
 
 
-def egress_routed(doors: DataFrame, exits: DataFrame, rooms: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
+def egress_routed(doors: DataFrame, exits: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
     """Travel distance per floor routed through doorways: the longest of the shortest room-to-exit paths."""
-    reach = shortest_to_sources(doors, exits, ["sheet_id"], max_rounds)
+    reach = shortest_to_sources(doors, exits, ["sheet_id"])
     if rooms is not None:
         reach = reach.join(rooms.select("sheet_id", "node"), ["sheet_id", "node"], "left_semi")
     return reach.groupBy("sheet_id").agg(F.max("distance").alias("travel"), F.count(F.lit(1)).alias("reached"))
@@ -292,18 +292,17 @@ def override_history(actions: DataFrame, measurements: DataFrame) -> DataFrame:
     )
 
 
-def recalibrate(outcomes: DataFrame, steps: int = 1000):
+def recalibrate(outcomes: DataFrame):
     """Isotonic fit of correctness on stated confidence.
 
     ``outcomes``: confidence and kept (1 when the reviewer left the value alone).
-    Points are averaged on a grid of ``steps`` cells first, which bounds what
-    the fit has to gather; returns the model.
+    Outcomes of one stated confidence are one weighted point, so the fit gathers
+    as many points as there are different confidences; returns the model.
     """
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import IsotonicRegression
 
-    cell = F.round(F.col("confidence") * steps) / steps
-    points = outcomes.groupBy(cell.alias("c")).agg(F.avg(F.col("kept").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    points = outcomes.groupBy(F.col("confidence").cast("double").alias("c")).agg(F.avg(F.col("kept").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
     frame = points.select(array_to_vector(F.array("c")).alias("features"), "label", "weight")
     return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(frame)
 

@@ -110,16 +110,19 @@ def checklist_answers(questions: DataFrame, measures: DataFrame, keys: list[str]
 
     ``questions``: the keys, comparison, threshold and min_confidence.
     ``measures``: the keys, value and confidence. The weakest value decides: the
-    smallest for a lower limit, the largest for an upper one.
+    smallest for a lower limit, the largest for an upper one; for "=" all values
+    must equal the threshold. Any other comparison, or none, is "unknown".
     """
     per = measures.groupBy(*keys).agg(
         F.min("value").alias("lowest"), F.max("value").alias("highest"), F.min("confidence").alias("confidence")
     )
     both = questions.join(per, keys, "left")
-    value = F.when(F.col("comparison") == ">=", F.col("lowest")).otherwise(F.col("highest"))
-    ok = F.when(F.col("comparison") == ">=", value >= F.col("threshold")).otherwise(value <= F.col("threshold"))
+    how, limit = F.col("comparison"), F.col("threshold")
+    off = F.col("lowest") != limit
+    value = F.when(how == ">=", F.col("lowest")).when(how == "<=", F.col("highest")).when(how == "=", F.when(off, F.col("lowest")).otherwise(F.col("highest")))
+    ok = F.when(how == ">=", value >= limit).when(how == "<=", value <= limit).otherwise(value == limit)
     status = (
-        F.when(value.isNull(), "unknown").when(F.col("confidence") < F.col("min_confidence"), "amber").when(ok, "green").otherwise("red")
+        F.when(value.isNull() | limit.isNull(), "unknown").when(F.col("confidence") < F.col("min_confidence"), "amber").when(ok, "green").otherwise("red")
     )
     return both.withColumn("value", value).withColumn("status", status).drop("lowest", "highest")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -43,6 +44,19 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Put the folder of this package on the path of the Python workers.
+
+    Code that tasks import by name is then found wherever the session was
+    started. On a cluster the package comes with ``--py-files`` or is installed;
+    a folder that does not exist there is ignored.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def durable_folder(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,25 +50,41 @@ def build_sheets(documents: DataFrame, known: DataFrame | None = None) -> DataFr
 
 
 def ensure_dim(rows: DataFrame, existing: DataFrame, natural_key: Sequence[str], kind: str, id_col: str) -> DataFrame:
-    """Existing rows plus one new row, with a deterministic id, per unknown natural key."""
+    """Existing rows plus one new row, with a deterministic id, per unknown natural key.
+
+    Of several rows of a key the whole row that is least in column order is taken.
+    """
     others = [c for c in rows.columns if c not in natural_key]
-    groups = rows.groupBy(*natural_key)
-    firsts = groups.agg(*[F.min(c).alias(c) for c in others]) if others else rows.select(*natural_key).distinct()
+    if others:
+        least = rows.groupBy(*natural_key).agg(F.min(F.struct(*others)).alias("__row"))
+        firsts = least.select(*natural_key, "__row.*").select(*rows.columns)
+    else:
+        firsts = rows.select(*natural_key).distinct()
     fresh = new_rows(firsts, existing, natural_key).withColumn(
         id_col, stable_id(kind, *[F.col(c) for c in natural_key])
     )
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, in whatever store, and holds anything."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.exists(place) and len(store.listStatus(place)) > 0
+
+
 def append_versioned(df: DataFrame, path: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> None:
-    """Append rows whose key the table does not hold yet; nothing is overwritten."""
+    """Append rows whose key the table does not hold yet; nothing is overwritten.
+
+    Of several new rows of a key the whole row that is least in column order is
+    taken. A folder that does not exist or is empty is a new table; any other
+    error while reading it is the caller's.
+    """
     spark = df.sparkSession
-    unique = df.dropDuplicates(list(keys))
-    try:
-        known = spark.read.parquet(path)
-        unique = new_rows(unique, known, keys)
-    except AnalysisException:
-        pass  # first write creates the table
+    others = [c for c in df.columns if c not in keys]
+    unique = df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("__row")).select(*keys, "__row.*").select(*df.columns) if others else df.distinct()
+    if has_files(spark, path):
+        unique = new_rows(unique, spark.read.parquet(path), keys)
     unique.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 

@@ -113,8 +113,12 @@ def recoveries(stream: DataFrame, need: int = 10) -> DataFrame:
 
 
 def failed_attempts(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Attempt counts per call and day, for use in update mode."""
-    return stream.withWatermark("ts", delay).groupBy("call_id", F.window("ts", "1 day").alias("w")).agg(
+    """Attempt counts per call over two days, for use in update mode.
+
+    A new window opens every day, so attempts up to a day apart always share
+    one, also across midnight.
+    """
+    return stream.withWatermark("ts", delay).groupBy("call_id", F.window("ts", "2 days", "1 day").alias("w")).agg(
         F.count_if("failed").alias("failures"), F.count_if(~F.col("failed")).alias("successes"), F.max("ts").alias("last_at")
     ).drop("w")
 
@@ -123,9 +127,13 @@ def route_failures(stream: DataFrame, deferred_path: str, retry_path: str, check
     """Start the query that sends calls with ``limit`` failures to the deferred table and others to the retry table.
 
     Each micro-batch writes its own folder, so a replayed batch replaces itself.
+    A call may stand in retry folders of earlier batches when it is deferred;
+    ``calls_to_retry`` leaves it out.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        open_calls = batch.filter(F.col("successes") == 0)
+        # of the windows of a call, the one with most failures decides
+        per_call = batch.groupBy("call_id").agg(F.max_by(F.struct("failures", "successes", "last_at"), F.struct("failures", "last_at")).alias("w"))
+        open_calls = per_call.select("call_id", "w.*").filter(F.col("successes") == 0)
         open_calls.filter(F.col("failures") >= limit).write.mode("overwrite").parquet(f"{deferred_path}/batch={batch_id}")
         open_calls.filter((F.col("failures") > 0) & (F.col("failures") < limit)).write.mode("overwrite").parquet(f"{retry_path}/batch={batch_id}")
 
@@ -135,6 +143,12 @@ def route_failures(stream: DataFrame, deferred_path: str, retry_path: str, check
     )
 
 
+def calls_to_retry(retry: DataFrame, deferred: DataFrame) -> DataFrame:
+    """The latest retry row of each call that has not been deferred."""
+    latest = retry.groupBy("call_id").agg(F.max_by("failures", "last_at").alias("failures"), F.max("last_at").alias("last_at"))
+    return latest.join(deferred.select("call_id").distinct(), "call_id", "left_anti")
+
+
 def incremental_metrics(stream: DataFrame, path: str, checkpoint: str):
     """Start the query that keeps rule counts per micro-batch; ``read_metrics`` adds them up.
 

@@ -136,9 +136,15 @@ def test_routing(spark):
     edges = spark.createDataFrame([("s", 1, 2, 4.0), ("s", 2, 3, 1.0), ("s", 1, 3, 9.0), ("s", 5, 6, 1.0), ("u", 1, 2, 7.0)], "sheet string, a long, b long, length double")
     exits = spark.createDataFrame([("s", 1), ("u", 2)], "sheet string, node long")
     assert rows_of(shortest_to_sources(edges, exits, ["sheet"])) == [("s", 1, 0.0), ("s", 2, 4.0), ("s", 3, 5.0), ("u", 1, 7.0), ("u", 2, 0.0)]
-    chain = spark.createDataFrame([("s", i, i + 1, 1.0) for i in range(6)], "sheet string, a long, b long, length double")
-    with pytest.raises(RuntimeError):
-        shortest_to_sources(chain, spark.createDataFrame([("s", 0)], "sheet string, node long"), ["sheet"], max_rounds=2)
+    wrong = spark.createDataFrame([("s", 1, 2, -1.0)], "sheet string, a long, b long, length double")
+    with pytest.raises(ValueError):
+        shortest_to_sources(wrong, exits, ["sheet"])
+
+
+def test_paths_of_any_length_are_solved(spark):
+    chain = spark.createDataFrame([("s", i, i + 1, 1.0) for i in range(70)], "sheet string, a long, b long, length double").coalesce(1)
+    reach = shortest_to_sources(chain, spark.createDataFrame([("s", 0)], "sheet string, node long"), ["sheet"])
+    assert reach.agg({"distance": "max"}).first()[0] == 70.0
 
 
 def test_assignment_is_one_to_one_and_takes_the_strongest_tier(spark):

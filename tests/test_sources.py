@@ -3,9 +3,11 @@
 import hashlib
 import json
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from redliner.plans import claims, codekb, extraction, findings, review
+from redliner.plans import claims, codekb, extraction, findings, integrity, review
 from redliner.plans import rules as rl
 from redliner.sources import documents as docs
 from redliner.sources import packs, parsing
@@ -92,6 +94,60 @@ def test_ensure_dim_keeps_existing_ids(spark):
     assert out["B1"] == "id-1" and len(out) == 2
 
 
+def test_ensure_dim_takes_whole_rows(spark):
+    new = spark.createDataFrame([("B2", "b", "1"), ("B2", "a", "2")], "permit string, owner string, phone string")
+    old = spark.createDataFrame([], "permit string, owner string, phone string, project_id string")
+    row = docs.ensure_dim(new, old, ["permit"], "project", "project_id").first()
+    assert (row["owner"], row["phone"]) == ("a", "2")
+
+
+def test_append_reports_errors_other_than_a_new_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "b", "x"), (1, "a", "y")], "id long, a string, b string")
+    docs.append_versioned(df, path, ["id"])
+    assert spark.read.parquet(path).collect() == [(1, "a", "y")]
+    with pytest.raises(AnalysisException):
+        docs.append_versioned(df.withColumnRenamed("id", "other"), path, ["other"])
+
+
+def test_index_with_repeated_ids_and_positions_loses_nothing(spark):
+    index = spark.createDataFrame(
+        [("p", 1, "A-1", "one"), ("p", 2, "A-1", "two"), ("p", 3, "X", "x"), ("p", 3, "Y", "y")], "project_id string, ord long, declared_id string, declared_title string")
+    sheets = spark.createDataFrame(
+        [("p", 1, "s1", "A-1", "one"), ("p", 3, "s3", "Z", "z")], "project_id string, ord long, sheet_id string, canonical_id string, sheet_title string")
+    got = sorted((r["declared_id"] or "", r["canonical_id"] or "", r["status"]) for r in integrity.reconcile_index(index, sheets).collect())
+    assert len(got) == 4 and ("A-1", "A-1", "match") in got and ("A-1", "", "missing") in got
+    assert [g[2] for g in got if g[0] in "XY"].count("mismatched_id") == 1 and [g[2] for g in got if g[0] in "XY"].count("missing") == 1
+
+
+def test_a_row_of_two_sizes_agrees_with_both(spark):
+    callouts = spark.createDataFrame([("p", "t", "2x10"), ("p", "t", "2x12"), ("p", "t", "4x4")], "project_id string, tag string, size string")
+    rows = spark.createDataFrame([("p", "t", "2x10"), ("p", "t", "2x12")], "project_id string, tag string, size string")
+    got = integrity.callouts_vs_schedule(callouts, rows, ["project_id", "tag"], "size").collect()
+    assert [(r["callout_size"], r["severity"]) for r in got] == [("4x4", "revise")]
+
+
+def test_questions_without_comparison_are_unknown(spark):
+    q = spark.createDataFrame([(1, ">=", 5.0), (2, None, 5.0), (3, "=", 5.0), (4, "=", 6.0)], "k long, comparison string, threshold double").withColumn("min_confidence", F.lit(0.0))
+    m = spark.createDataFrame([(i, v, 1.0) for i in range(1, 5) for v in (5.0, 5.0)], "k long, value double, confidence double")
+    assert [r["status"] for r in review.checklist_answers(q, m, ["k"]).orderBy("k").collect()] == ["green", "unknown", "green", "red"]
+
+
+def test_references_of_a_target_with_versions(spark):
+    s = spark.createDataFrame([(1, "A", "a", "2020-01-01", ["B"]), (2, "B", "old", "2019-01-01", []), (3, "B", "new", "2021-01-01", [])],
+                              "section_id long, canonical_id string, title string, effective_date string, cross_references array<string>")
+    assert codekb.cross_references(s).collect() == [("A", "B", "new")]
+
+
+def test_hot_section_goes_through_the_scan_once_a_day(spark):
+    sections = spark.createDataFrame([(1, "S", "2020-01-01", None, "v1"), (2, "S", "2021-01-01", None, "v2")],
+                                     "section_id long, canonical_id string, effective_date string, superseded_by_id long, body_text string").withColumn("effective_date", F.to_date("effective_date"))
+    asked = spark.range(900).select("id", F.lit("S").alias("canonical_id"), F.date_add(F.lit("2020-12-30").cast("date"), (F.col("id") % 4).cast("int")).alias("as_of"))
+    got = codekb.section_as_of(asked, sections)
+    assert got.count() == 900
+    assert {(str(r["as_of"]), r["section_id"]) for r in got.collect()} == {("2020-12-30", 1), ("2020-12-31", 1), ("2021-01-01", 2), ("2021-01-02", 2)}
+
+
 def test_archive_and_retention(spark, tmp_path):
     p = spark.createDataFrame([(1, "a", "2015-03-01"), (2, "a", None), (3, "b", "2017-06-01")], "project_id long, jurisdiction string, closed_at string").withColumn("closed_at", F.to_date("closed_at"))
     index = docs.archive_cold(p, str(tmp_path / "cold"))

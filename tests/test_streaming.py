@@ -114,6 +114,16 @@ def test_failures_are_routed(spark, log, tmp_path):
     assert got.count() == 15
 
 
+def test_attempts_on_either_side_of_midnight_count_together(spark, tmp_path):
+    night = dt.datetime(2025, 1, 1, 23, 59)
+    calls = [(i, night + dt.timedelta(minutes=i), 0, 0, True, 1, 0.0, 5, "h") for i in range(3)] + [(9, night, 0, 0, True, 1, 0.0, 6, "h")]
+    src, deferred, retry = (str(tmp_path / x) for x in ("src", "deferred", "retry"))
+    spark.createDataFrame(calls, SCHEMA).coalesce(1).write.parquet(src)
+    jobs.route_failures(spark.readStream.schema(SCHEMA).parquet(src), deferred, retry, str(tmp_path / "cp"), 3).awaitTermination(240)
+    assert [r["call_id"] for r in spark.read.parquet(deferred).collect()] == [5]
+    assert [r["call_id"] for r in jobs.calls_to_retry(spark.read.parquet(retry), spark.read.parquet(deferred)).collect()] == [6]
+
+
 def test_incremental_metrics_equal_batch(spark, tmp_path):
     data = spark.range(300).select(
         (F.col("id") % 7).alias("rule_id"), F.lit("1").alias("rule_version"), F.lit("j").alias("jurisdiction"), F.lit(True).alias("emitted"), (F.col("id") % 3 == 0).alias("approved"),
