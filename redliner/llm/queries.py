@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from redliner.llm import byte_bpe, gam, huffman, metric_join, packing, pseudonyms, setsketch, site_lines, textcnn, threshold_topk
+from redliner.session import workers_find_package
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    workers_find_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
