@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access", "ingest", "titleblocks", "integrity", "claims", "codekb", "measure", "rules", "review", "learning", "operations")
+MODULES = ("access", "ingest", "titleblocks", "integrity", "claims", "codekb", "measure", "rules", "review", "learning", "operations", "streams")
 
 
 def load():
