@@ -12,7 +12,7 @@ import sys
 import time
 
 from redliner.catalog import load
-from redliner.session import local_session
+from redliner.session import local_session, remove_durables
 
 HEADLINE = [
     "projects_sheet_count", "sheets_by_project", "payload_json_filter", "dedupe_documents", "narrative_segments", "review_letter_comments",
@@ -35,6 +35,7 @@ def main() -> None:
         start = time.perf_counter()
         registry[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
+        remove_durables(spark)
         print(f"{name}: {times[name]}", file=sys.stderr, flush=True)
     sf = os.path.basename(folder.rstrip("/")).removeprefix("sf")
     print(json.dumps({

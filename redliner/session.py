@@ -75,6 +75,22 @@ def durable_folder(spark: SparkSession) -> str:
     return named
 
 
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def remove_durables(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has written so far; returns their number.
+
+    For the end of a job: frames that still read from them can no longer be evaluated.
+    """
+    jvm = spark.sparkContext._jvm
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def durable(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Cut lineage: write the frame to the shared folder and read it back.
 
@@ -84,6 +100,7 @@ def durable(df: DataFrame, codec: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{durable_folder(spark)}/redliner-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.option("compression", codec) if codec else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

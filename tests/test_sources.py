@@ -318,3 +318,13 @@ def test_durable_writes_below_the_named_folder(spark):
     assert folder == named or (named is None and folder == spark.sparkContext.getCheckpointDir())
     kept = durable(spark.range(5))
     assert kept.count() == 5 and all(f.replace("file:", "").lstrip("/").startswith(folder.replace("file:", "").lstrip("/")) for f in kept.inputFiles())
+
+
+def test_durable_tables_are_removed_at_the_end_of_a_job(spark):
+    from redliner.session import durable, remove_durables
+
+    remove_durables(spark)
+    kept = durable(spark.range(5))
+    assert kept.count() == 5 and remove_durables(spark) == 1
+    with pytest.raises(Exception):
+        spark.read.parquet(kept.inputFiles()[0]).count()
