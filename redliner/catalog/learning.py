@@ -109,12 +109,13 @@ def severity_profile(t: Tables):
     return ln.severity_profile(findings(t), ["discipline"])
 
 
-SQL_EDITS = "e AS (SELECT a.conv_id * 1000 + a.turn AS finding_id, a.role AS rule_id, regexp_replace(a.text, '[^\\x00-\\x7F]', '?', 'g') AS draft, regexp_replace(b.text, '[^\\x00-\\x7F]', '?', 'g') AS final FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
+# the SQL distance counts bytes, so there, and only there, each accented letter becomes a byte of its own that no text holds
+ONE_BYTE = "'ÄÁÇÈÉÊÍÑÓÖÚÜßäáçèéêíñóöúü', '!#$%&()*+-/0123456789:;<='"
+SQL_EDITS = f"e AS (SELECT a.conv_id * 1000 + a.turn AS finding_id, a.role AS rule_id, translate(a.text, {ONE_BYTE}) AS draft, translate(b.text, {ONE_BYTE}) AS final FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"
 
 
 def edits(t: Tables):
-    # one mark per accented letter: the SQL side counts bytes
-    c = t.busy("conversations").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    c = t.busy("conversations")
     following = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("final"))
     return c.join(following, ["conv_id", "turn"]).select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("finding_id"), F.col("role").alias("rule_id"), F.col("text").alias("draft"), "final")
