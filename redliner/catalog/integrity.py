@@ -97,7 +97,7 @@ SQL_BOXES = """SELECT (l_orderkey % 40) AS project_id, (l_orderkey % 200)::VARCH
   (l_partkey % 97 * 11)::DOUBLE AS x1, (l_suppkey % 31 * 5)::DOUBLE AS y1, l_partkey % 97 * 11 + l_quantity + 1 AS x2, (l_suppkey % 31 * 5 + l_linenumber + 1)::DOUBLE AS y2 FROM lineitem"""
 
 
-@query("C14 PI-TEXT-OVERLAP-001", f"""WITH b AS ({SQL_BOXES})
+@query("C14", f"""WITH b AS ({SQL_BOXES})
 SELECT a.sheet_id, a.span_id FROM b a WHERE EXISTS (SELECT 1 FROM b o WHERE o.sheet_id = a.sheet_id AND o.span_id <> a.span_id
   AND o.x1 < a.x2 AND o.x2 > a.x1 AND o.y1 < a.y2 AND o.y2 > a.y1)""")
 def bbox_overlap(t: Tables):
@@ -168,7 +168,7 @@ def plan_index_rules(t: Tables):
     return found.select("rule_id", "project_id", "evidence_id")
 
 
-@query("K6 PI-REV-CLOUD-001 PI-SHEET-NUMBERING", """WITH s AS (SELECT DISTINCT l_orderkey AS project_id, l_linenumber AS sheet FROM lineitem WHERE l_returnflag = 'R'),
+@query("K6 PI-REV-CLOUD-001", """WITH s AS (SELECT DISTINCT l_orderkey AS project_id, l_linenumber AS sheet FROM lineitem WHERE l_returnflag = 'R'),
 r AS (SELECT DISTINCT l_orderkey AS project_id, l_linenumber AS sheet FROM lineitem WHERE l_linestatus = 'F')
 SELECT project_id, sheet::VARCHAR AS sheet_id FROM s ANTI JOIN r USING (project_id, sheet)""")
 def clouds_without_table(t: Tables):
@@ -177,3 +177,20 @@ def clouds_without_table(t: Tables):
     found = integrity.BOOK.run({
         "revision_clouds": li.filter(F.col("l_returnflag") == "R"), "revision_tables": li.filter(F.col("l_linestatus") == "F")})
     return found.select("project_id", "sheet_id")
+
+
+@query("K6 E3 PI-SHEET-NUMBERING", """WITH s AS (SELECT DISTINCT l_suppkey AS project_id, l_returnflag AS d, l_linenumber AS major, l_partkey % 37 AS minor FROM lineitem),
+w AS (SELECT *, lag(minor) OVER (PARTITION BY project_id, d, major ORDER BY minor) AS previous FROM s)
+SELECT 'PI-SHEET-NUMBERING' AS rule_id, project_id, d || '-' || major || '.' || minor AS sheet_id, 'clarify' AS severity FROM w WHERE minor - previous > 1""")
+def sheet_numbering_rule(t: Tables):
+    sheets = t.lineitem.select(
+        F.col("l_suppkey").alias("project_id"), F.col("l_returnflag").alias("discipline_letter"),
+        F.col("l_linenumber").alias("major"), (F.col("l_partkey") % 37).alias("minor"))
+    return integrity.BOOK.run({"numbered_sheets": sheets}).select("rule_id", "project_id", "sheet_id", "severity")
+
+
+@query("K6 C14 PI-TEXT-OVERLAP-001", f"""WITH b AS ({SQL_BOXES})
+SELECT 'PI-TEXT-OVERLAP-001' AS rule_id, a.project_id, a.sheet_id, a.span_id AS evidence_id FROM b a WHERE EXISTS (SELECT 1 FROM b o WHERE o.project_id = a.project_id AND o.sheet_id = a.sheet_id
+  AND o.span_id <> a.span_id AND o.x1 < a.x2 AND o.x2 > a.x1 AND o.y1 < a.y2 AND o.y2 > a.y1)""")
+def text_overlap_rule(t: Tables):
+    return integrity.BOOK.run({"text_boxes": text_boxes(t)}).select("rule_id", "project_id", "sheet_id", "evidence_id")

@@ -198,3 +198,23 @@ def licensed_flag(t: Tables):
     rest = fd.undecided(cases, b.filter(F.col("l_returnflag") == "R").select("rid"), ["rid"])
     licensed = r.needs_license(F.col("rule_id"))
     return rest.select("rid", "rule_id", licensed.alias("licensed"), r.may_auto_approve(licensed).alias("auto_ok"), "role")
+
+
+@query("M6 D23 MECH-ATTIC-VENT", """WITH a AS (SELECT p_partkey % 100 AS project_id, p_partkey::VARCHAR AS sheet_id, p_size / (p_partkey % 4000 + 1000)::DOUBLE AS ratio FROM part)
+SELECT 'MECH-ATTIC-VENT' AS rule_id, project_id, sheet_id, 'revise' AS severity FROM a WHERE ratio < 1 / 150""")
+def attic_vent_rule(t: Tables):
+    k = F.col("p_partkey")
+    ratio = F.col("p_size") / (k % 4000 + 1000).cast("double")
+    attics = t.part.select((k % 100).alias("project_id"), k.cast("string").alias("sheet_id"), ratio.alias("ratio"), (ratio >= 1 / 150).alias("ok"))
+    return rules.BOOK.run({"attics": attics}).select("rule_id", "project_id", "sheet_id", "severity")
+
+
+@query("M5 C8 STR-SIZE-CONFLICT", """WITH c AS (SELECT DISTINCT l_suppkey AS project_id, l_partkey % 100 AS tag, '2x' || (10 + 2 * (l_linenumber % 3)) AS size FROM lineitem),
+s AS (SELECT DISTINCT p_partkey % 100 AS project_id, p_size AS tag, '2x' || (10 + 2 * (p_partkey % 2)) AS size FROM part), k AS (SELECT DISTINCT project_id, tag FROM s)
+SELECT 'STR-SIZE-CONFLICT' AS rule_id, project_id, tag::VARCHAR AS evidence_id, 'revise' AS severity, count(*) AS n FROM c SEMI JOIN k USING (project_id, tag) ANTI JOIN s USING (project_id, tag, size) GROUP BY 1, 2, 3, 4""")
+def size_conflicts(t: Tables):
+    """Callouts whose size no row of the schedule has; the licensed engineer is named in a note."""
+    callouts = t.lineitem.select(F.col("l_suppkey").alias("project_id"), (F.col("l_partkey") % 100).alias("tag"), F.concat(F.lit("2x"), (10 + 2 * (F.col("l_linenumber") % 3)).cast("string")).alias("size"))
+    schedule = t.part.select((F.col("p_partkey") % 100).alias("project_id"), F.col("p_size").cast("long").alias("tag"), F.concat(F.lit("2x"), (10 + 2 * (F.col("p_partkey") % 2)).cast("string")).alias("size"))
+    found = rules.BOOK.run({"shear_callouts": callouts, "shear_schedule": schedule}).filter("advisory_licensed_note")
+    return found.groupBy("rule_id", "project_id", "evidence_id", "severity").agg(F.count(F.lit(1)).alias("n"))
