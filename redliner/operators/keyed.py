@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,3 +54,13 @@ def changed(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) ->
         .otherwise("changed")
     )
     return both.select(*keys, "old_value", "new_value", status.alias("status"))
+
+
+def parsed(df: DataFrame, text: str, parser: Callable[[Column], Column], name: str) -> DataFrame:
+    """``df`` with ``name``: the parser's value of ``text``, computed once per different text and joined back.
+
+    For costly parsers over columns that repeat. Null texts get null.
+    """
+    values = df.filter(F.col(text).isNotNull()).select(F.col(text).alias("__text")).distinct()
+    values = values.select("__text", parser(F.col("__text")).alias(name))
+    return df.join(values, F.col(text) == F.col("__text"), "left").drop("__text")

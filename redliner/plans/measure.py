@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from redliner.functions import geometry as g
 from redliner.functions.review import lookup
 from redliner.operators.asof import nearest_join
-from redliner.operators.keyed import latest_per_key
+from redliner.operators.keyed import latest_per_key, parsed
 from redliner.operators.routing import shortest_to_sources
 from redliner.operators.scan import every, last_value, ordered_scan
 
@@ -34,7 +34,7 @@ def best_anchors(anchors: DataFrame) -> DataFrame:
 
     ``anchors``: sheet_id, viewport, dim_text, drawn_pts, confidence.
     """
-    usable = anchors.withColumn("inches", g.parse_dimension(F.col("dim_text"))).filter(
+    usable = parsed(anchors, "dim_text", g.parse_dimension, "inches").filter(
         F.col("inches").isNotNull() & (F.col("drawn_pts") > 0)
     )
     row = F.struct("confidence", "drawn_pts", "inches", "dim_text")
@@ -52,7 +52,7 @@ def resolve_scale(viewports: DataFrame, anchors: DataFrame) -> DataFrame:
         "sheet_id", "viewport", F.col("confidence").alias("anchor_confidence"),
         (F.col("inches") / (F.col("drawn_pts") / POINTS_PER_INCH)).alias("calibrated_ratio"),
     )
-    both = viewports.join(best, ["sheet_id", "viewport"], "left").withColumn("declared_ratio", g.parse_scale(F.col("scale_text")))
+    both = parsed(viewports, "scale_text", g.parse_scale, "declared_ratio").join(best, ["sheet_id", "viewport"], "left")
     delta = F.try_divide(F.abs(F.col("declared_ratio") - F.col("calibrated_ratio")), F.col("declared_ratio"))
     off = delta > CALIBRATION_DELTA
     return both.withColumn("delta", delta).select(
