@@ -29,9 +29,9 @@ BANDS, ROWS = 40, 5
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: pairs whose likely similarity is below this are not verified; over six standard errors under the threshold
 LEAST_LIKELY = 0.55
-#: buckets of open components up to this size are paired off directly, larger ones are refined first
+#: buckets of several components up to this size are paired off line by line, larger ones in blocks of documents
 DIRECT = 24
-HUB_TURNS = 3
+BLOCK = 512
 
 _ODD = np.random.default_rng(20240607).integers(0, 2**32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32)
 _MULTIPLY, _ADD = _ODD[0] | np.uint32(1), _ODD[1]
@@ -205,72 +205,82 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
 def band_links(rows: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     """Confirmed links that connect all similar representatives that share a band.
 
-    Turn 0 tests every document against one hub only, the first of a random
+    First every document is tested against one hub only, the first of a random
     order among all its buckets. Confirmed links are contracted, and only
-    buckets that still hold several components stay open. In the turns that
-    follow small ones are paired off across components, and members of large
-    ones are tested against new hubs. What is still large after that goes
-    through a prefix join. So a large group of copies costs a line per member,
-    and no pair that shares a bucket is skipped.
+    buckets that still hold several components stay open. Small ones are paired
+    off across components; large ones are compared inside tasks, block with
+    block, and give one line per linked member. So no pair that shares a bucket
+    is skipped, and the lines grow with the members of a group, not their pairs.
     """
     bands = first.select("id", F.explode("bands").alias("key")).distinct()
     shared = durable(bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most").select("key"))
-    rows_open = durable(bands.join(shared, "key", "left_semi").select("key", "id", F.col("id").alias("component")))
-    involved = rows_open.select("id").distinct()
+    members = durable(bands.join(shared, "key", "left_semi").select("key", "id"))
+    involved = members.select("id").distinct()
     sets = durable(rows.join(involved, "id", "left_semi").select("id", "text").mapInArrow(_sets, "id long, items array<bigint>"))
     verifier = _Verifier(durable(first.select("id", "n", "sketch").join(involved, "id", "left_semi")), sets, percent)
-    links = None
-    for turn in range(HUB_TURNS + 1):
-        order = F.xxhash64("id", F.lit(turn))
-        hubs = durable(rows_open.groupBy("key").agg(
-            F.count("*").alias("size"), F.min(F.struct(order.alias("o"), "id", "component")).alias("hub")))
-        met = rows_open.join(hubs, "key")
-        spokes = met.filter(F.col("component") != F.col("hub.component"))
-        small = met.filter(F.col("size") <= DIRECT).select("key", "id", "component")
-        across = small.join(small.toDF("key", "id2", "component2"), "key").filter("id < id2 and component <> component2").select("id", "id2")
-        if turn == 0:
-            pairs = spokes.groupBy("id").agg(F.min("hub").alias("hub")).select("id", "hub.id")
-        elif turn < HUB_TURNS:
-            pairs = spokes.filter(F.col("size") > DIRECT).select("id", "hub.id").union(across)
-        else:
-            large = met.filter(F.col("size") > DIRECT).select("id", "component").distinct()
-            pairs = across.union(_prefix_pairs(large, sets, percent))
-        pairs = pairs.toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        fresh = durable(verifier.links(pairs))
-        links = fresh if links is None else links.union(fresh)
-        if turn == HUB_TURNS:
-            break
-        left = met.select("key", "id", "component")
-        if turn:
-            left = met.filter((F.col("size") > DIRECT) & (F.col("id") != F.col("hub.id"))).select("key", "id", "component")
-        name = durable(rows_open.select("id", "component").distinct())
-        renamed = fresh.join(name.toDF("a", "ca"), "a").join(name.toDF("b", "cb"), "b")
-        merged = durable(components(renamed, "ca", "cb")).toDF("component", "root")
-        left = left.join(merged, "component", "left").select("key", "id", F.coalesce("root", "component").alias("component"))
-        left = durable(left)
-        several = durable(left.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key"))
-        rows_open = durable(left.join(several, "key", "left_semi"))
-        if rows_open.isEmpty():
-            break
-    return links
-
-
-def _prefix_pairs(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share one of their rarest shingles.
-
-    Two sets of similarity p / 100 share an element among the first
-    n - ceil(n p / 100) + 1 of each in any common order; the order here is by
-    frequency among these documents, so passages that many share never meet.
-    """
-    items = large.join(sets, "id").select("id", "component", F.explode("items").alias("item"))
-    count = durable(items.groupBy("item").agg(F.count("*").alias("n")))
-    ranked = (items.join(count, "item").groupBy("id", "component")
-              .agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("all")))
-    n = F.size("all")
-    prefix = ranked.select("id", "component", F.explode(F.slice("all", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)).alias("x"))
-    prefix = durable(prefix.filter("x.n > 1").select("id", "component", "x.item"))
-    met = prefix.join(prefix.toDF("id2", "component2", "item"), "item")
-    return met.filter("id < id2 and component <> component2").select("id", "id2")
+    order = F.struct(F.xxhash64("id").alias("o"), "id")
+    hubs = durable(members.groupBy("key").agg(F.min(order).alias("hub")))
+    spokes = members.join(hubs, "key").filter(F.col("id") != F.col("hub.id"))
+    one = spokes.groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("id").alias("x"), F.col("hub.id").alias("y"))
+    links = durable(verifier.links(one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+    merged = durable(components(links, "a", "b")).toDF("id", "root")
+    named = durable(members.join(merged, "id", "left").select("key", "id", F.coalesce("root", "id").alias("component")))
+    several = durable(named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size"))
+                      .filter("c0 < c1").select("key", "size"))
+    still = durable(named.join(several, "key"))
+    small = still.filter(F.col("size") <= DIRECT).select("key", "id", "component")
+    across = small.join(small.toDF("key", "id2", "component2"), "key").filter("id < id2 and component <> component2")
+    found = durable(verifier.links(across.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()))
+    return links.union(found).union(durable(_block_links(still.filter(F.col("size") > DIRECT), sets, percent)))
+
+
+def _block_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a member and the least member that it is linked with, within two blocks of a bucket."""
+    dealt = large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    everyone = F.sequence(F.lit(0), F.col("blocks") - 1)
+    task = F.transform(everyone, lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
+    tasks = dealt.select("key", "id", "block", F.explode(task).alias("task")).select("key", "task.left", "task.right", "id", "block")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids = np.array(table["id"].to_pylist(), np.int64)
+        sizes = np.array([len(x) for x in table["items"]], np.int64)
+        block = np.array(table["block"].to_pylist())
+        left = np.flatnonzero(block == table["left"][0].as_py())
+        right = np.flatnonzero(block == table["right"][0].as_py())
+        items = table["items"].combine_chunks().flatten().to_numpy()
+        owner = np.repeat(np.arange(len(ids)), sizes)
+        _, item, count = np.unique(items, return_inverse=True, return_counts=True)
+        # only shingles of several documents count for their intersections
+        keep = count[item] > 1
+        _, item = np.unique(item[keep], return_inverse=True)
+        owner = owner[keep]
+        by = np.argsort(item, kind="stable")
+        item, owner = item[by], owner[by]
+        common = np.zeros((len(left), len(right)), np.float32)
+        place = [np.full(len(ids), -1), np.full(len(ids), -1)]
+        place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
+        for low in range(0, int(item[-1]) + 1 if len(item) else 0, 4096):
+            at = slice(*np.searchsorted(item, [low, low + 4096]))
+            sides = []
+            for p, n in zip(place, (len(left), len(right)), strict=True):
+                has = np.zeros((n, 4096), np.float32)
+                mine = p[owner[at]]
+                has[mine[mine >= 0], (item[at] - low)[mine >= 0]] = 1
+                sides.append(has)
+            common += sides[0] @ sides[1].T
+        union = sizes[left][:, None] + sizes[right][None] - common
+        near = (common * 100 >= union * percent) & (left[:, None] != right[None])
+        group = np.arange(len(ids))
+        for r in np.flatnonzero(near.any(axis=1)):
+            met = np.unique(np.append(group[right[near[r]]], group[left[r]]))
+            if len(met) > 1:
+                group[np.isin(group, met[1:])] = met[0]
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, group, ids)
+        a, b = ids, least[group]
+        return pa.table([pa.array(b[a != b]), pa.array(a[a != b])], names=["a", "b"])
+
+    return tasks.join(sets, "id").groupBy("key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
 
 
 def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -282,6 +292,7 @@ def one_per_group(docs: DataFrame, id: str = "doc_id", text: str = "text", perce
     found = durable(near_duplicates(docs, id, text, percent))
     dropped = durable(found.filter(~F.col("kept")).select(id).distinct())
     repeated = durable(found.groupBy(id).agg(F.count("*").alias("n")).filter((F.col("n") > 1) & F.col(id).isNotNull()).select(id))
-    stay = docs.join(dropped, id, "left_anti").select(*docs.columns)
-    once = stay.join(repeated, id, "left_semi").select(*docs.columns).dropDuplicates([id, text])
-    return stay.join(repeated, id, "left_anti").select(*docs.columns).unionByName(once)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stay = docs.join(dropped, id, "left_anti").select(*columns)
+    once = stay.join(repeated, id, "left_semi").select(*columns).dropDuplicates([id, text])
+    return stay.join(repeated, id, "left_anti").select(*columns).unionByName(once)
