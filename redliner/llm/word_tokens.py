@@ -10,12 +10,13 @@ its full pipeline.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 NAME = "word_bpe_49k.json"
 #: runs remembered by a worker; then the memory starts anew
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 
 _PLAIN = re.compile(r"[a-z0-9ß-öø-ÿ!\"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]+")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -29,6 +30,18 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letters[b] for b in chr(c).encode()) for c in range(223, 256)}
 
 
+class _Memory(dict):
+    """Ids by run; a run that is not there yet is encoded when it is asked for."""
+
+    def __init__(self, make: Callable[[bytes], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, run: bytes) -> bytes:
+        ids = self[run] = self.make(run)
+        return ids
+
+
 class WordTokenizer:
     """Encodes texts to little-endian 16-bit ids with a bounded memory of runs."""
 
@@ -43,25 +56,30 @@ class WordTokenizer:
         self.model = self.library.model
         self.latin = _byte_letters()
         self.remembered = remembered
-        self.memory: dict[bytes, bytes] = {}
+        self.memory = _Memory(self._run)
+        # words are often met with other marks around them
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.translate(self.latin)
+        found = self.pieces[piece] = b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(letters)])
+        return found
 
     def _run(self, run: bytes) -> bytes:
         text = run.decode("utf-8", "replace")
         if _PLAIN.fullmatch(text):
-            ids = [t.id for piece in _PIECE.findall(text) for t in self.model.tokenize(piece.translate(self.latin))]
-        else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u2").tobytes()
+            known, parts = self.pieces, _PIECE.findall(text)
+            return b"".join([known.get(p) or self._piece(p) for p in parts])
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text is empty."""
-        runs = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         if len(self.memory) > self.remembered:
             self.memory.clear()
-        memory = self.memory
-        for run in set().union(*runs).difference(memory):
-            memory[run] = self._run(run)
-        return [b"".join(map(memory.__getitem__, r)) for r in runs]
+        if len(self.pieces) > self.remembered:
+            self.pieces.clear()
+        ids = self.memory.__getitem__
+        return [b"".join(map(ids, (t or "").encode("utf-8", "replace").lower().split())) for t in texts]
 
 
 _OPEN: dict[str, WordTokenizer] = {}
