@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 NAME = "byte_bpe_multi_50k.tiktoken"
 #: runs of text remembered by a worker; then the memory starts anew
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: pieces with more bytes are folded one by one with a heap
 LONG = 128
 
@@ -89,6 +90,10 @@ def encode_words(word: Column, ranks: Column, buckets: int = BUCKETS) -> Column:
 NONE = np.int32(1 << 30)
 
 
+#: what the public pattern matches as one word, or as one word and one run of marks
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class ByteBPE:
     """Encodes texts to little-endian 16-bit ids and decodes them."""
 
@@ -99,6 +104,7 @@ class ByteBPE:
         if len(self.ranks) > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.split = regex.compile(split)
+        self.plain = split == pattern()
         self.spaces = regex.compile(r"[^\S \n]|\s\s|\s\Z|\x00")
         self.pieces = [b""] * (max(self.ranks.values()) + 1)
         for piece, rank in self.ranks.items():
@@ -115,17 +121,19 @@ class ByteBPE:
         self.pair_rank = np.array([pairs[k] for k in self.pair_key.tolist()], np.int32)
         self.remembered = remembered
         self.memory: dict[str, bytes] = {}
+        # words are often met with other marks behind them
+        self.known: dict[str, bytes] = {}
 
     def _joins(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 16 | right
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         return np.where(self.pair_key[at] == key, self.pair_rank[at], NONE)
 
-    def fold(self, pieces: list[bytes]) -> list[list[int]]:
+    def fold(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pieces that are not ids themselves: the pair of least rank, leftmost first, is merged until none is left."""
-        result: list[list[int]] = [[] for _ in pieces]
         if not pieces:
-            return result
+            return []
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
         token = self.byte[raw]
@@ -138,10 +146,7 @@ class ByteBPE:
             length = np.diff(np.concatenate([starts, [len(token)]]))
             over = np.repeat(least == NONE, length)
             if over.any():
-                done, ids = owner[over], token[over]
-                cuts = np.flatnonzero(np.concatenate([[True], done[1:] != done[:-1]]))
-                for k, part in zip(done[cuts].tolist(), np.split(ids, cuts[1:]), strict=True):
-                    result[k] = part.tolist()
+                done.append((owner[over], token[over]))
                 token, owner, rank = token[~over], owner[~over], rank[~over]
                 continue
             at = np.flatnonzero(rank == np.repeat(least, length))
@@ -152,14 +157,20 @@ class ByteBPE:
             # the merged token keeps the place of its left part
             place = np.cumsum(keep) - 1
             token, owner, rank = token[keep], owner[keep], rank[keep]
-            changed = np.unique(np.concatenate([place[at], place[at][place[at] > 0] - 1]))
+            beside = np.zeros(len(token), bool)
+            beside[place[at]] = True
+            beside[np.maximum(place[at] - 1, 0)] = True
+            changed = np.flatnonzero(beside)
             rank[changed] = NONE
             changed = changed[changed + 1 < len(token)]
             changed = changed[owner[changed] == owner[changed + 1]]
             rank[changed] = self._joins(token[changed], token[changed + 1])
-        return result
+        owner, token = (np.concatenate(c) for c in zip(*done, strict=True))
+        data = token[np.argsort(owner, kind="stable")].astype("<u2").tobytes()
+        ends = (np.cumsum(np.bincount(owner, minlength=len(pieces))) * 2).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
 
-    def fold_long(self, piece: bytes) -> list[int]:
+    def fold_long(self, piece: bytes) -> bytes:
         """The same for one long piece, in n log n steps."""
         token: list[int | None] = self.byte[np.frombuffer(piece, np.uint8)].tolist()
         n = len(token)
@@ -181,7 +192,7 @@ class ByteBPE:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y < n and (q := pairs.get(token[x] << 16 | token[y])) is not None:
                     heapq.heappush(heap, (q, x, token[x], token[y]))
-        return [t for t in token if t is not None]
+        return np.array([t for t in token if t is not None], "<u2").tobytes()
 
     def _runs(self, text: str) -> list[str]:
         """Stretches of a text that the pattern treats alike inside and outside of it.
@@ -193,21 +204,35 @@ class ByteBPE:
             return self.split.findall(text)
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if text else []
 
+    def _matches(self, run: str) -> tuple[str, ...] | list[str]:
+        """The matches of the pattern in a run; plain Latin words with ASCII marks behind them are cut without it."""
+        if self.plain and (word := _WORD.fullmatch(run)):
+            return (word[1], word[2]) if word[2] else (word[1],)
+        return self.split.findall(run)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text is empty."""
         runs = [self._runs(t or "") for t in texts]
         if len(self.memory) > self.remembered:
             self.memory.clear()
-        memory = self.memory
+        if len(self.known) > self.remembered:
+            self.known.clear()
+        memory, known = self.memory, self.known
         memory[""] = b""
-        new = {run: [p.encode() for p in self.split.findall(run)] for run in set().union(*runs).difference(memory)}
-        unknown = list({p for parts in new.values() for p in parts if p not in self.ranks})
-        short = [p for p in unknown if len(p) <= LONG]
-        folded = dict(zip(short, self.fold(short), strict=True)) | {p: self.fold_long(p) for p in unknown if len(p) > LONG}
-        ranks = self.ranks
+        new = {run: self._matches(run) for run in set().union(*runs).difference(memory)}
+        short = []
+        for piece in {p for parts in new.values() for p in parts}.difference(known):
+            raw = piece.encode()
+            if (rank := self.ranks.get(raw)) is not None:
+                known[piece] = rank.to_bytes(2, "little")
+            elif len(raw) > LONG:
+                known[piece] = self.fold_long(raw)
+            else:
+                short.append((piece, raw))
+        for (piece, _), ids in zip(short, self.fold([raw for _, raw in short]), strict=True):
+            known[piece] = ids
         for run, parts in new.items():
-            ids = [x for p in parts for x in ((ranks[p],) if p in ranks else folded[p])]
-            memory[run] = np.array(ids, "<u2").tobytes()
+            memory[run] = known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))
         return [b"".join(map(memory.__getitem__, r)) for r in runs]
 
     def decode(self, ids: np.ndarray) -> bytes:
