@@ -21,13 +21,21 @@ ROUNDS = 10
 DEMO_KEY = "demo key; pass your own"
 
 EMAIL = r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)"
+#: countries by the length of their IBAN
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+# first the length of the country, so that capitals or digits behind a number stay text; then any other length
+IBAN = r"(?<!\w)(?:(?:%s)|[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?!\w)" % "|".join(
+    r"(?:%s)\d{2}(?: ?[A-Z0-9]){%d}(?!\w)" % (names.replace(" ", "|"), n - 4) for n, names in IBAN_COUNTRIES.items())
 IPV4 = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
 ISO_DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
 DAY_DATE = r"(?<![\w./])\d{1,2}[./]\d{1,2}[./]\d{4}(?![\w/])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"
-PHONE = r"(?<!\w)(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"
+PHONE = r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\(?\d{3}\)?[ .-])\d{3}[ .-]\d{4}(?!\w)"
 INTL_PHONE = r"\+\d(?:[ .-]?\(?\d\)?){7,14}(?!\w)"
 ACCESS_KEY = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)"
 SECRET = r"(?<!\w)(?i:password|passwd|secret|token|api[_-]?key)(?-i: ?[=:] ?\"?)[A-Za-z0-9_/+-]{8,}"
@@ -149,6 +157,14 @@ def card(value: Column, key: str) -> Column:
     return _let(_digits(value), checked)
 
 
+def _checked_end(match: Column) -> Column:
+    """Characters of a match of ``CARD`` up to the last end of a digit group where the Luhn sum holds; its first group, if there is none."""
+    known = lambda p: _digits(F.substring(match, F.lit(1), p))
+    group_end = lambda p: _is_digit(F.substring(match, p, F.lit(1))) & ~_is_digit(F.substring(match, p + 1, F.lit(1)))
+    valid = lambda p: group_end(p) & (F.length(known(p)) >= 13) & (_luhn_sum(known(p)) % 10 == 0)
+    return F.coalesce(F.get(F.filter(F.sequence(F.length(match), F.lit(13), F.lit(-1)), valid), F.lit(0)), F.length(F.regexp_extract(match, "^[0-9]+", 0)))
+
+
 def _mod97(text: Column) -> Column:
     def add(rest: Column, ch: Column) -> Column:
         return F.when(_is_digit(ch), (rest * 10 + ch.cast("int")) % 97).otherwise((rest * 100 + F.ascii(ch) - 55) % 97)
@@ -260,10 +276,28 @@ def pseudonym(match: Column, key: str) -> Column:
         .when(whole("access_key"), access_key(match, key)).when(whole("iban"), iban(match, key))
         .when(whole("ipv4"), ipv4(match, key)).when(whole("iso_date"), iso_date(match, key))
         .when(whole("day_date"), day_date(match, key)).when(whole("ssn"), ssn(match, key))
-        .when(whole("phone") | whole("intl_phone"), phone(match, key)).otherwise(card(match, key))
+        .when(whole("phone") | whole("intl_phone"), phone(match, key)).when(whole("card"), card(match, key)).otherwise(match)
     )
 
 
+def _matches(text: Column) -> Column:
+    """struct(lead, parts): the text before the first match of ``ANY`` and, per match, struct(value, rest, behind).
+
+    Of a card number with digits behind it only the part that passes its check
+    is the value, of a run without such a part the first group of digits; the
+    others are its rest. behind is the text up to the next match.
+    """
+
+    def cut(match: Column, behind: Column) -> Column:
+        end = F.when(match.rlike(f"^(?:{CARD})$"), _checked_end(match)).otherwise(F.length(match))
+        return _let(end, lambda e: F.struct(
+            F.substring(match, F.lit(1), e).alias("value"), F.substring(match, e + 1, F.length(match)).alias("rest"), behind.alias("behind")))
+
+    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+    return _let(F.split(text, ANY, -1), lambda between: F.struct(
+        between[0].alias("lead"), F.zip_with(found, F.slice(between, F.lit(2), F.size(between)), cut).alias("parts")))
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEMO_KEY, changed: str = "values_changed") -> DataFrame:
     """The same rows with personal values in ``text`` replaced and ``changed``, the number of values replaced.
 
@@ -274,17 +308,19 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEMO_KEY, chang
     an empty one. Other columns pass through, whatever their names; one that is
     called like ``changed`` is replaced.
     """
-
-    def rebuilt(found: Column) -> Column:
-        between = F.split(F.col(text), ANY, -1)
-        put = lambda new: F.array_join(F.flatten(F.zip_with(between, new, lambda part, n: F.array(part, F.coalesce(n, F.lit(""))))), "")
-        count = lambda new: F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x)).cast("long")
-        made = _let(F.transform(found, lambda m: pseudonym(m, key)), lambda new: F.struct(put(new).alias("text"), count(new).alias("n")))
-        return F.when(F.size(found) > 0, made)
-
-    found = F.when(F.col(text).rlike("[0-9@=:]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
-    marked = docs.withColumn("__made", _let(found, rebuilt))
+    plain = lambda m: F.struct(m["value"].alias("value"), F.concat(m["rest"], m["behind"]).alias("behind"))
+    first = lambda m, more: F.array(F.struct(m["value"].alias("value"), more["lead"].alias("behind")))
+    # what is left of a match is searched once more, together with the text behind it
+    again = lambda m: F.when(m["rest"] != "", _matches(F.concat(m["rest"], m["behind"])))
+    parts = lambda m, more: F.when(more.isNull(), F.array(plain(m))).otherwise(F.concat(first(m, more), F.transform(more["parts"], plain)))
+    new = lambda m: F.struct(pseudonym(m["value"], key).alias("new"), m["value"].alias("value"), m["behind"].alias("behind"))
+    marked = docs.withColumn("__found", F.when(F.col(text).rlike("[0-9@=:]"), _matches(F.col(text))))
+    marked = marked.withColumn("__again", F.transform("__found.parts", again))
+    marked = marked.withColumn("__parts", F.flatten(F.zip_with("__found.parts", "__again", parts)))
+    marked = marked.withColumn("__new", F.transform("__parts", new))
+    made = F.concat(F.col("__found.lead"), F.array_join(F.transform("__new", lambda m: F.concat(m["new"], m["behind"])), ""))
+    count = F.size(F.filter("__new", lambda m: m["new"] != m["value"])).cast("long")
     return marked.select(
-        *[F.coalesce(F.col("__made.text"), F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != changed],
-        F.coalesce(F.col("__made.n"), F.lit(0).cast("long")).alias(changed),
+        *[F.when(F.size("__new") > 0, made).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != changed],
+        F.when(F.size("__new") > 0, count).otherwise(F.lit(0).cast("long")).alias(changed),
     )

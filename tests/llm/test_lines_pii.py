@@ -84,6 +84,19 @@ def test_values_that_fail_their_check_stay(spark):
     assert made(spark, texts) == [(t, 0) for t in texts]
 
 
+def test_values_with_digits_or_capitals_behind_them(spark):
+    card, iban, spaced = "4111 1111 1111 1111", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    texts = [f"x {card}", f"x {iban}", f"x {spaced}", "x 606-555-7814", "x (606)555-7814", f"x {card} 12/27", f"x {card.replace(' ', '')} 123",
+             f"x {iban} EUR 50", f"x {spaced} BIC COBADEFF", f"x {card} 606-555-7814 end", f"x 2026 {card}"]
+    got = made(spark, texts)
+    card, iban, spaced, phone, bracket = (t[2:] for t, _ in got[:5])
+    assert all(t not in g for t, (g, _) in zip(texts[:5], got, strict=False)) and luhn(re.sub(r"\D", "", card))
+    assert bracket == f"({phone[:3]}){phone[4:]}"
+    # what is left of a run is searched again
+    assert got[5:] == [(f"x {card} 12/27", 1), (f"x {card.replace(' ', '')} 123", 1), (f"x {iban} EUR 50", 1), (f"x {spaced} BIC COBADEFF", 1),
+                       (f"x {card} {phone} end", 2), (f"x 2026 {card}", 1)]
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     text = "606-555-7814, +1 (606) 555-7814 and 606.555.7814"
     digits = [re.sub(r"\D", "", x)[-10:] for x in re.split(r", | and ", one(spark, text))]
