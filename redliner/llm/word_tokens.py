@@ -4,7 +4,8 @@ The tokenizer drops white space and never lets a piece cross it, so a text's ids
 are those of its white-space-free runs in order. ASCII capitals are lowered
 first, as its normaliser does anyway. Runs of plain Latin letters, digits and
 ASCII punctuation go straight to the library's BPE model; all others go through
-its full pipeline.
+its full pipeline. Runs that hold the exact string of a special token go through
+it as they are, capitals included, and get the id of that token there.
 """
 
 from __future__ import annotations
@@ -49,8 +50,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # strings of special tokens inside a text are ordinary text
-        self.library.encode_special_tokens = True
+        # a special token's string is one only as it is written, not where lowering has made it
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.ordinary = Tokenizer.from_file(path)
+        self.ordinary.encode_special_tokens = True
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.model = self.library.model
@@ -70,7 +73,12 @@ class WordTokenizer:
         if _PLAIN.fullmatch(text):
             known, parts = self.pieces, _PIECE.findall(text)
             return b"".join([known.get(p) or self._piece(p) for p in parts])
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.ordinary.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _with_special(self, text: bytes) -> bytes:
+        """Ids of a text with strings of special tokens."""
+        whole = lambda run: np.array(self.library.encode(run.decode(), add_special_tokens=False).ids, "<u2").tobytes()
+        return b"".join([whole(run) if any(s in run for s in self.special) else self.memory[run.lower()] for run in text.split()])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes; a null text is empty."""
@@ -78,8 +86,9 @@ class WordTokenizer:
             self.memory.clear()
         if len(self.pieces) > self.remembered:
             self.pieces.clear()
-        ids = self.memory.__getitem__
-        return [b"".join(map(ids, (t or "").encode("utf-8", "replace").lower().split())) for t in texts]
+        ids, special = self.memory.__getitem__, self.special
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        return [self._with_special(t) if any(s in t for s in special) else b"".join(map(ids, t.lower().split())) for t in raw]
 
 
 _OPEN: dict[str, WordTokenizer] = {}

@@ -29,6 +29,16 @@ def test_word_ids_equal_the_library():
             assert np.frombuffer(got, "<u2").tolist() == words.library.encode(text, add_special_tokens=False).ids
 
 
+def test_special_tokens_get_the_ids_of_the_untouched_library():
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(vocabulary_path()), WordTokenizer(vocabulary_path())
+    known = ["a <|endoftext|> b", "A <|ENDOFTEXT|> b", "x<|endoftext|>日本Y <|StartOfText|>é日", "<|endoftext|><|startoftext|>", "<|endoftext|", *texts()]
+    for text, got in zip(known, words.encode(known), strict=True):
+        assert np.frombuffer(got, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.encode(known)[0], "<u2").tolist() == [320, 49407, 321]
+
+
 def library_bpe():
     import tiktoken
 
