@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.llm import byte_bpe, gam, huffman, metric_join, packing, pseudonyms, setsketch, site_lines, textcnn, threshold_topk
+from redliner.llm import byte_bpe, gam, huffman, metric_join, packing, pair_index, pseudonyms, setsketch, site_lines, textcnn, threshold_topk
 from redliner.session import workers_find_package
 
 
@@ -65,8 +65,14 @@ def op10_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonyms.pseudonymise(_table(spark, folder, "documents")).select("doc_id", "text", "values_changed")
 
 
+def op11_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document's ids by the pair occurrence index and of the text decoded from them."""
+    return pair_index.digests(_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_huffman_token_files, op2_setsketch_near_dedup, op3_additive_quality, op4_site_line_dedup, op5_threshold_topk, op6_text_cnn_toxicity,
     op7_byte_bpe, op8_metric_near_dedup, op9_bin_completion_packing, op10_pii_pseudonyms,
+    op11_pair_index_bpe,
 )}
 SQL = {"op4_site_line_dedup": site_lines.oracle()}
