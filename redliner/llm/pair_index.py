@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 NAME = "byte_bpe_50k.json"
 #: words remembered by a worker, and the characters a remembered word has at most
-REMEMBERED, LONGEST = 250_000, 64
-#: characters of text that are split and indexed together; a longer text is taken alone
-STRETCH = 4_000_000
+REMEMBERED, LONGEST = 200_000, 64
+#: bytes of text that are split and indexed together, and ids that are decoded together; a longer text is taken alone
+STRETCH, DECODED = 1_500_000, 400_000
 
 _NONE = np.int32(1 << 30)
 #: between words, and where the right part of a joined pair was
@@ -260,7 +260,7 @@ def decode(encoded: DataFrame, id: str = "doc_id", ids: str = "ids", path: str |
         bpe = coder(path)
         for batch in batches:
             sizes = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in _stretches(sizes, STRETCH):
+            for a, b in _stretches(sizes, DECODED):
                 part = batch.slice(a, b - a)
                 flat = part.column(1).flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 texts = pa.array(bpe.decode(flat, sizes[a:b]), pa.string(), mask=part.column(1).is_null().to_numpy(zero_copy_only=False))
