@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.llm import byte_bpe, gam, huffman, metric_join, packing, pair_index, pseudonyms, setsketch, site_lines, textcnn, threshold_topk
+from redliner.llm import byte_bpe, gam, huffman, metric_join, packing, pair_index, pseudonyms, setsketch, site_lines, term_pipeline, textcnn, threshold_topk
 from redliner.session import workers_find_package
 
 
@@ -70,9 +70,14 @@ def op11_pair_index_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return pair_index.digests(_table(spark, folder, "documents"))
 
 
+def op12_term_pipeline_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return term_pipeline.rank(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_huffman_token_files, op2_setsketch_near_dedup, op3_additive_quality, op4_site_line_dedup, op5_threshold_topk, op6_text_cnn_toxicity,
     op7_byte_bpe, op8_metric_near_dedup, op9_bin_completion_packing, op10_pii_pseudonyms,
-    op11_pair_index_bpe,
+    op11_pair_index_bpe, op12_term_pipeline_search,
 )}
-SQL = {"op4_site_line_dedup": site_lines.oracle()}
+SQL = {"op4_site_line_dedup": site_lines.oracle(), "op12_term_pipeline_search": term_pipeline.oracle()}
