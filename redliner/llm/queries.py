@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redliner.llm import byte_bpe, gam, huffman, metric_join, packing, pair_index, pseudonyms, setsketch, site_lines, term_pipeline, textcnn, threshold_topk
+from redliner.llm import byte_bpe, gam, huffman, metric_join, packing, pair_index, pseudonyms, setsketch, site_lines, term_pipeline, textcnn, threshold_topk, variants
 from redliner.session import workers_find_package
 
 
@@ -75,9 +75,15 @@ def op12_term_pipeline_search(spark: SparkSession, folder: str) -> DataFrame:
     return term_pipeline.rank(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op13_trie_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its form and root among the words one edit apart."""
+    return variants.variants(_table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_huffman_token_files, op2_setsketch_near_dedup, op3_additive_quality, op4_site_line_dedup, op5_threshold_topk, op6_text_cnn_toxicity,
     op7_byte_bpe, op8_metric_near_dedup, op9_bin_completion_packing, op10_pii_pseudonyms,
-    op11_pair_index_bpe, op12_term_pipeline_search,
+    op11_pair_index_bpe, op12_term_pipeline_search, op13_trie_spelling_variants,
 )}
-SQL = {"op4_site_line_dedup": site_lines.oracle(), "op12_term_pipeline_search": term_pipeline.oracle()}
+SQL = {"op4_site_line_dedup": site_lines.oracle(), "op12_term_pipeline_search": term_pipeline.oracle(),
+       "op13_trie_spelling_variants": variants.oracle()}
