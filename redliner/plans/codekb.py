@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from redliner.operators import dyadic
 from redliner.operators.asof import asof_join, validity_intervals
 from redliner.operators.scan import every, ordered_scan, paged, position
 from redliner.session import durable
@@ -55,16 +56,40 @@ def section_as_of(requests: DataFrame, sections: DataFrame, take: Sequence[str]
     return requests.join(answer, same, "left").drop("__section", "__day")
 
 
-def amendments_in_force(requests: DataFrame, amendments: DataFrame) -> DataFrame:
-    """Amendments of each distinct lookup key on its date.
+SEGMENT = ["canonical_id", "jurisdiction", "since"]
+#: days are counted from 2^20 before 1970, so that every date is a number from 0 to 2^23
+DAY_LEVELS, DAY_ZERO = 23, 1 << 20
 
-    ``amendments``: amendment_id, canonical_id, jurisdiction, operation,
-    amendment_text, ordinal, effective_date, closes_at.
+
+def segments(requests: DataFrame, amendments: DataFrame) -> DataFrame:
+    """Each distinct lookup key with ``since``: the start of its elementary interval.
+
+    Between two change points of a section and jurisdiction (a date on which an
+    amendment takes effect or closes) the same amendments hold, so all days of
+    such an interval share one answer. Null before the first change point.
     """
     keys = requests.select(*KEY).distinct()
-    return keys.join(amendments, ["canonical_id", "jurisdiction"]).filter(
-        (F.col("effective_date") <= F.col("as_of")) & (F.col("closes_at").isNull() | (F.col("closes_at") > F.col("as_of")))
-    )
+    points = amendments.select("canonical_id", "jurisdiction", F.explode(F.array(F.col("effective_date").cast("date"), F.col("closes_at").cast("date"))).alias("since"))
+    points = points.filter(F.col("since").isNotNull()).distinct()
+    return asof_join(
+        keys, points, ["canonical_id", "jurisdiction"], _days(F.col("as_of")), _days(F.col("since")), ["since"], lambda at: F.floor(at / 365))
+
+
+def amendments_in_force(held: DataFrame, amendments: DataFrame) -> DataFrame:
+    """The amendments in force of each elementary interval, one row each and no other.
+
+    ``held``: keys with ``since``. ``amendments``: amendment_id, canonical_id,
+    jurisdiction, operation, amendment_text, ordinal, effective_date, closes_at.
+    An amendment's days are cut into dyadic cells and meet the cells around the
+    start of an interval by equality: no day is held against an amendment that
+    does not apply to it.
+    """
+    day = lambda c: (_days(F.col(c)) + DAY_ZERO).cast("long")
+    until = F.coalesce(day("closes_at"), F.lit(1 << DAY_LEVELS))
+    asked = held.filter(F.col("since").isNotNull()).select(*SEGMENT).distinct()
+    asked = dyadic.around(asked, day("since"), DAY_LEVELS)
+    spans = dyadic.cover(amendments, day("effective_date"), until)
+    return asked.join(spans, ["canonical_id", "jurisdiction", "level", "cell"]).drop("level", "cell")
 
 
 def folded_fragments(requests: DataFrame, base: DataFrame, amendments: DataFrame) -> DataFrame:
@@ -74,25 +99,26 @@ def folded_fragments(requests: DataFrame, base: DataFrame, amendments: DataFrame
     or override stands for everything before it; insert_before goes in front of
     the text so far, append and insert_after behind it. ``base``: the lookup key
     and body_text. The position is 0 for the core, negative before, positive
-    after it.
+    after it. The fold runs once per elementary interval, along the ordinals: an
+    amendment is a patch, a replacement resets the position that the patches
+    behind it count from.
     """
-    live = amendments_in_force(requests, amendments)
+    held = durable(segments(requests, amendments))
+    live = durable(amendments_in_force(held, amendments).withColumn("core", F.col("operation").isin("replace", "override")))
     rank = F.struct("ordinal", "effective_date", "amendment_id")
-    core = F.col("operation").isin("replace", "override")
-    last = live.filter(core).groupBy(*KEY).agg(F.max(F.struct(rank.alias("rank"), F.col("amendment_text"), F.col("amendment_id"))).alias("last"))
-    after = live.join(last, KEY, "left").filter(
-        ~core & (F.col("last").isNull() | (rank > F.col("last.rank")))
-    )
+    last = live.filter("core").groupBy(*SEGMENT).agg(F.max(F.struct(rank.alias("rank"), F.col("amendment_text"), F.col("amendment_id"))).alias("last"))
+    # without a core in the same interval nothing is reset, so only intervals with one are joined
+    after = live.filter("not core").join(last.select(*SEGMENT, F.col("last.rank").alias("__reset")), SEGMENT, "left").filter(F.col("__reset").isNull() | (rank > F.col("__reset")))
     numbered = ordered_scan(
-        after.drop("last"), KEY, [F.col("ordinal"), F.col("effective_date"), F.col("amendment_id")], every(F.col("ordinal"), 10_000),
+        after.drop("__reset"), SEGMENT, [F.col("ordinal"), F.col("effective_date"), F.col("amendment_id")], every(F.col("ordinal"), 10_000),
         {"n": position()},
     )
-    around = numbered.select(
-        *KEY, F.when(F.col("operation") == "insert_before", -F.col("n")).otherwise(F.col("n")).alias("pos"),
+    patches = numbered.select(
+        *SEGMENT, F.when(F.col("operation") == "insert_before", -F.col("n")).otherwise(F.col("n")).alias("pos"),
         F.col("amendment_text").alias("fragment"), "amendment_id",
     )
-    keys = requests.select(*KEY).distinct()
-    middle = keys.join(base.select(*KEY, "body_text"), KEY, "left").join(last, KEY, "left").select(
+    around = held.join(patches, SEGMENT).select(*KEY, "pos", "fragment", "amendment_id")
+    middle = held.join(base.select(*KEY, "body_text"), KEY, "left").join(last, SEGMENT, "left").select(
         *KEY, F.lit(0).cast("long").alias("pos"), F.coalesce("last.amendment_text", "body_text").alias("fragment"),
         F.col("last.amendment_id").alias("amendment_id"),
     )

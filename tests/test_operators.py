@@ -165,3 +165,51 @@ def test_latest_and_majority(spark):
 def test_plans_have_no_cross_join_and_no_global_window(spark, hot):
     plan = scan.ordered_scan(hot, ["k"], [F.col("t"), F.col("id")], scan.every(F.col("t"), 50), {"n": scan.position()})._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_dyadic_cells_meet_exactly_where_a_number_lies_in_a_range(spark):
+    from redliner.operators import dyadic
+
+    ranges = [(lo, hi) for lo in range(18) for hi in range(18)]
+    cut = dyadic.cover(spark.createDataFrame(ranges, "lo long, hi long"), F.col("lo"), F.col("hi"))
+    number = dyadic.around(spark.range(20), F.col("id"), 5)
+    got = [tuple(r) for r in cut.join(number, ["level", "cell"]).select("lo", "hi", "id").collect()]
+    assert sorted(got) == sorted((lo, hi, n) for lo, hi in ranges for n in range(20) if lo <= n < hi)
+    assert max(r["n"] for r in cut.groupBy("lo", "hi").agg(F.count("*").alias("n")).collect()) <= 2 * 5
+
+
+def test_amendments_of_one_section_over_ten_thousand_days(spark):
+    from datetime import date, timedelta
+
+    from redliner.plans import codekb
+
+    rng, start = random.Random(3), date(1995, 1, 1)
+    kinds = ["append", "insert_before", "insert_after", "append", "replace", "override"]
+    made = []
+    for k in range(200):
+        since = start + timedelta(days=rng.randrange(9_000))
+        made.append((k, "CBC-1", "state", rng.choice(kinds), f"am {k}", rng.randrange(40), since, since + timedelta(days=rng.randrange(1, 900)) if rng.random() < 0.7 else None))
+    amendments = spark.createDataFrame(made, "amendment_id long, canonical_id string, jurisdiction string, operation string, amendment_text string, ordinal long, effective_date date, closes_at date")
+    days = [start + timedelta(days=d - 500) for d in range(10_000)]
+    keys = spark.createDataFrame([("CBC-1", "state", d) for d in days] + [("CBC-2", "state", start)], "canonical_id string, jurisdiction string, as_of date")
+    held = codekb.segments(keys, amendments)
+    live = codekb.amendments_in_force(held, amendments)
+    assert held.select("canonical_id", "since").distinct().count() <= 2 + 2 * 200
+    # one row per interval and amendment in force, none that a filter would drop
+    assert live.filter("effective_date > since or closes_at <= since").isEmpty()
+    folded = codekb.folded_fragments(keys, keys.withColumn("body_text", F.lit("base")), amendments)
+    got = {}
+    for r in folded.select("canonical_id", "as_of", "pos", "fragment").collect():
+        got.setdefault((r["canonical_id"], r["as_of"]), []).append((r["pos"], r["fragment"]))
+    assert got["CBC-2", start] == [(0, "base")] and len(got) == 10_001
+    for day in days[::7]:
+        core, before, after, n = "base", [], [], 0
+        for _, _, k, kind in sorted((m[5], m[6], m[0], m[3]) for m in made if m[6] <= day and (m[7] is None or m[7] > day)):
+            n = 0 if kind in ("replace", "override") else n + 1
+            if n == 0:
+                core, before, after = f"am {k}", [], []
+            elif kind == "insert_before":
+                before.insert(0, f"am {k}")
+            else:
+                after.append(f"am {k}")
+        assert [f for _, f in sorted(got["CBC-1", day])] == [*before, core, *after]
