@@ -39,3 +39,15 @@ def around(df: DataFrame, number: Column, levels: int | Column, lowest: int | Co
     steps = F.when(start <= top, F.sequence(start.cast("int"), top.cast("int")))
     return df.withColumn("__at", number.cast("long")).withColumn("level", F.explode(steps)).withColumn(
         "cell", F.call_function("shiftright", F.col("__at"), F.col("level"))).drop("__at")
+
+
+def partly(df: DataFrame, low: Column, high: Column, levels: int) -> DataFrame:
+    """One row per cell (``level``, ``cell``) that ``[low, high)`` fills in part: the cells around those of ``cover``.
+
+    At most two a level, and each once.
+    """
+    steps = df.withColumns({"__low": low.cast("long"), "__high": high.cast("long")}).filter("__low < __high").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    k = F.col("level")
+    ends = F.array_distinct(F.array(F.call_function("shiftright", F.col("__low"), k), F.call_function("shiftright", F.col("__high") - 1, k)))
+    cells = steps.withColumn("cell", F.explode(ends)).withColumn("__size", _size(k))
+    return cells.filter("cell * __size < __low or (cell + 1) * __size > __high").drop("__low", "__high", "__size")

@@ -1,9 +1,14 @@
-"""Box overlap tests on a sheet, linear in the number of boxes.
+"""Box overlap tests on a sheet, without forming a pair of boxes.
 
-Each box is cut into horizontal strips of the page lattice. Inside a strip the
-question becomes one of intervals on the x axis, which a running maximum of
-right edges answers in one ordered scan; no pair of boxes is ever formed.
-Vertical extents are compared on the lattice: ``[floor(y1/strip), ceil(y2/strip))``.
+The y coordinates of a sheet are ranked, so that a box spans a range of whole
+numbers and two spans meet exactly if the open intervals do, whatever the
+precision of the coordinates. A span is cut into dyadic cells that it holds;
+around them are cells that it fills in part. Two boxes meet in y exactly if one
+of them holds a cell that the other holds or fills in part. Within a cell the
+question is one of intervals on the x axis, which running maxima of right edges
+answer in one ordered scan. A box has at most 2 log2(h) + 2 rows of each kind
+when h different y coordinates lie in its height, and none beyond the level of
+the tallest box.
 """
 
 from __future__ import annotations
@@ -13,65 +18,79 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redliner.operators.scan import every, next_value, ordered_scan, running_max
+from redliner.operators import dyadic
+from redliner.operators.scan import every, following, next_value, ordered_scan, position, running_max
+from redliner.session import durable
 
 
-def _strips(df: DataFrame, strip: float) -> DataFrame:
-    low = F.floor(F.col("y1") / strip)
-    high = F.ceil(F.col("y2") / strip) - 1
-    return df.filter(F.col("x2") > F.col("x1")).filter(high >= low).withColumn(
-        "strip", F.explode(F.sequence(low, high))
-    )
+def _spans(boxes: DataFrame, sheet: Sequence[str], width: int) -> tuple[DataFrame, int]:
+    """Boxes with positive sides and their spans ``low`` to ``high`` of ranks; the highest level of a cell that one holds."""
+    solid = boxes.filter("x1 < x2 and y1 < y2")
+    ys = solid.select(*sheet, F.explode(F.array("y1", "y2")).alias("__y")).distinct()
+    ranks = ordered_scan(ys, sheet, [F.col("__y")], every(F.col("__y"), width), {"__rank": position()})
+    for edge, name in (("y1", "low"), ("y2", "high")):
+        solid = solid.join(ranks.select(*sheet, F.col("__y").alias(edge), F.col("__rank").alias(name)), [*sheet, edge])
+    spans = durable(solid)
+    tallest = spans.agg(F.max(F.col("high") - F.col("low"))).first()[0]
+    return spans, (tallest or 1).bit_length() - 1
+
+
+def _cells(spans: DataFrame, top: int) -> DataFrame:
+    """One row per cell that a box holds (``hold``) or fills in part."""
+    low, high = F.col("low"), F.col("high")
+    return dyadic.cover(spans, low, high).withColumn("hold", F.lit(True)).unionByName(dyadic.partly(spans, low, high, top).withColumn("hold", F.lit(False))).drop("low", "high")
+
 
+def _held(value: Column) -> Column:
+    return F.when(F.col("hold"), value)
 
-def overlapping(boxes: DataFrame, sheet: Sequence[str], box_id: str, strip: float = 1.0, width: int = 1000) -> DataFrame:
+
+def overlapping(boxes: DataFrame, sheet: Sequence[str], box_id: str, width: int = 1000) -> DataFrame:
     """Boxes that overlap another box of the same sheet.
 
     Input columns: the sheet keys, ``box_id`` and x1, y1, x2, y2. Copies of one
-    box overlap each other. Output: sheet keys and ``box_id``, one row per box.
+    box overlap each other; boxes that touch do not overlap, and boxes without
+    extent or with a null coordinate overlap nothing. Output: sheet keys and
+    ``box_id``, one row per box.
     """
     keys = [*sheet, "x1", "y1", "x2", "y2"]
     distinct = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    cut = _strips(distinct, strip)
+    spans, top = _spans(distinct, sheet, width)
     both = ordered_scan(
-        cut, [*sheet, "strip"], [F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2")], every(F.col("x1"), width),
-        {"reach": running_max(F.col("x2"), inclusive=False), "next_start": next_value(F.col("x1"))},
-    )
-    touched = (
-        (F.col("copies") > 1) | (F.col("reach") > F.col("x1")) | (F.col("next_start") < F.col("x2"))
+        _cells(spans, top), [*sheet, "level", "cell"], [F.col("x1"), F.col("x2"), F.col("y1"), F.col("y2")], every(F.col("x1"), width),
+        {"reach": running_max(F.col("x2"), inclusive=False), "reach_held": running_max(_held(F.col("x2")), inclusive=False),
+         "start": next_value(F.col("x1")), "start_held": following(_held(F.col("x1")))},
     )
+    # one that only fills a cell in part meets those that hold it
+    reach, start = F.when(F.col("hold"), F.col("reach")).otherwise(F.col("reach_held")), F.when(F.col("hold"), F.col("start")).otherwise(F.col("start_held"))
+    touched = (F.col("copies") > 1) | (reach > F.col("x1")) | (start < F.col("x2"))
     hit = both.filter(F.coalesce(touched, F.lit(False))).select(*keys).distinct()
     return boxes.join(hit, keys, "left_semi").select(*sheet, box_id)
 
 
 def overlaps_any(
-    left: DataFrame, right: DataFrame, sheet: Sequence[str], left_id: str, right_id: str,
-    strip: float = 1.0, width: int = 1000,
+    left: DataFrame, right: DataFrame, sheet: Sequence[str], left_id: str, right_id: str, width: int = 1000,
 ) -> DataFrame:
     """Left boxes that overlap at least one right box of the same sheet.
 
     ``right_id`` of the output names one such box: among those that start left
     of the tested box's right edge, the one that reaches furthest right (greatest
-    id on ties). A point is a box of positive size such as one lattice unit.
+    id on ties). A point is a box of positive size.
     """
-    base = [*sheet, "strip", "x1", "x2"]
-    right_cut = _strips(right.select(*sheet, right_id, "x1", "y1", "x2", "y2"), strip).select(
-        *base, F.col("x1").alias("__at"), F.lit(1).alias("__side"),
-        F.struct(F.col("x2").alias("reach"), F.col(right_id).alias("id")).alias("__r"),
-    )
-    left_cut = _strips(left.select(*sheet, left_id, "x1", "y1", "x2", "y2"), strip)
-    right_type = right_cut.schema["__r"].dataType
-    # A left box asks at its own right edge, before any box that starts there.
-    asks = left_cut.select(
-        *base, F.col("x2").alias("__at"), F.lit(0).alias("__side"),
-        F.lit(None).cast(right_type).alias("__r"), F.col(left_id).alias("__id"),
-    )
-    events = asks.unionByName(right_cut, allowMissingColumns=True)
+    corners = ["x1", "y1", "x2", "y2"]
+    none = lambda df, name: F.lit(None).cast(df.schema[name].dataType)
+    asked = left.select(*sheet, *corners, F.col(left_id).alias("__id"), none(right, right_id).alias("__box"), F.lit(0).alias("__side"))
+    given = right.select(*sheet, *corners, none(left, left_id).alias("__id"), F.col(right_id).alias("__box"), F.lit(1).alias("__side"))
+    spans, top = _spans(asked.unionByName(given), sheet, width)
+    # a left box asks at its own right edge, before any box that starts there
+    answer = F.when(F.col("__side") == 1, F.struct(F.col("x2").alias("reach"), F.col("__box").alias("id")))
+    events = _cells(spans, top).withColumns({"__at": F.when(F.col("__side") == 1, F.col("x1")).otherwise(F.col("x2")), "__r": answer})
     scanned = ordered_scan(
-        events, [*sheet, "strip"], [F.col("__at"), F.col("__side"), F.col("__r")],
-        every(F.col("__at"), width), {"best": running_max(F.col("__r"))},
+        events, [*sheet, "level", "cell"], [F.col("__at"), F.col("__side"), F.col("__r")], every(F.col("__at"), width),
+        {"best": running_max(F.col("__r")), "best_held": running_max(_held(F.col("__r")))},
     )
-    hits = scanned.filter((F.col("__side") == 0) & (F.col("best")["reach"] > F.col("x1")))
+    found = scanned.filter("__side = 0").withColumn("best", F.when(F.col("hold"), F.col("best")).otherwise(F.col("best_held")))
+    hits = found.filter(F.col("best")["reach"] > F.col("x1"))
     return (
         hits.groupBy(*sheet, "__id")
         .agg(F.max("best").alias("best"))

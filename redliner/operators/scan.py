@@ -50,6 +50,11 @@ def next_value(value: Column) -> Step:
     return Step("next", value, False)
 
 
+def following(value: Column) -> Step:
+    """First non-null value after this row."""
+    return Step("following", value, False)
+
+
 def every(column: Column, width: int) -> Column:
     """Chunk number for an integer or fractional ordering column."""
     return F.floor(column / width)
@@ -90,6 +95,7 @@ def ordered_scan(
         True: inside.rowsBetween(Window.unboundedPreceding, 0),
         False: inside.rowsBetween(Window.unboundedPreceding, -1),
     }
+    backwards = Window.partitionBy(*keys, "__chunk").orderBy(*[F.desc(o) for o in order_names]).rowsBetween(Window.unboundedPreceding, -1)
     local, summary = {}, []
     for name, step in steps.items():
         value = F.col(f"__v_{name}")
@@ -110,6 +116,10 @@ def ordered_scan(
         elif step.kind == "next":
             local[name] = F.lead(value).over(inside)
             summary.append(F.min_by(value, F.struct(*order_names)).alias(f"__s_{name}"))
+        elif step.kind == "following":
+            # read backwards, where the frame only grows
+            local[name] = F.last(value, ignorenulls=True).over(backwards)
+            summary.append(F.min_by(value, F.when(value.isNotNull(), F.struct(*order_names))).alias(f"__s_{name}"))
         else:
             raise ValueError(step.kind)
 
@@ -125,6 +135,8 @@ def ordered_scan(
             lifted.append(F.max(s).over(before).alias(f"__f_{name}"))
         elif step.kind == "next":
             lifted.append(F.lead(s).over(across.orderBy("__chunk")).alias(f"__f_{name}"))
+        elif step.kind == "following":
+            lifted.append(F.last(s, ignorenulls=True).over(across.orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)).alias(f"__f_{name}"))
         else:
             lifted.append(F.last(s, ignorenulls=True).over(before).alias(f"__f_{name}"))
     offsets = offsets.select(*keys, "__chunk", *lifted)

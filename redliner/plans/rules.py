@@ -123,9 +123,9 @@ def signage():
 
 @BOOK.rule("ACC-TURNING-005", "turning_spaces", "door_swings")
 def turning_space(ctx: Mapping[str, DataFrame]) -> DataFrame:
-    """A turning space that meets a door swing, both given as boxes in inches on a 3 inch lattice."""
+    """A turning space that meets a door swing, both given as boxes in inches."""
     keys = ["project_id", "sheet_id"]
-    hit = overlaps_any(ctx["turning_spaces"], ctx["door_swings"], keys, "space_id", "door_id", strip=3.0)
+    hit = overlaps_any(ctx["turning_spaces"], ctx["door_swings"], keys, "space_id", "door_id")
     text = F.concat(F.lit("The turning space is obstructed by the swing of door "), F.col("door_id").cast("string"), F.lit(". Revise."))
     return emit(hit, "ACC-TURNING-005", "accessibility", "revise", text, F.col("space_id"), citation="CBC-11B-304.3")
 

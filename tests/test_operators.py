@@ -213,3 +213,31 @@ def test_amendments_of_one_section_over_ten_thousand_days(spark):
             else:
                 after.append(f"am {k}")
         assert [f for _, f in sorted(got["CBC-1", day])] == [*before, core, *after]
+
+
+@pytest.mark.parametrize("width", [0.1, 1000])
+def test_overlap_of_real_coordinates_equals_brute_force(spark, width):
+    rng = random.Random(8)
+
+    def box(k):
+        s, x, y = rng.choice([0, 0, 0, 1]), rng.random(), rng.random() - 0.5
+        return s, k, x, y, x + rng.random() * 0.1, y + rng.random() ** 4
+    left, right = [box(k) for k in range(150)], [box(k) for k in range(60)]
+    left += [(7, 900, 0.0, 0.2, 1.0, 0.4), (7, 901, 0.0, 0.6, 1.0, 0.8), (8, 902, 0.0, 0.2, 1.0, 0.4), (8, 903, 0.5, 0.4, 1.0, 0.5), (8, 904, None, 0.1, 1.0, 0.9), (8, 905, 0.2, 0.3, 0.2, 0.9)]
+    schema = "s long, {} long, x1 double, y1 double, x2 double, y2 double"
+    a, b = spark.createDataFrame(left, schema.format("a")), spark.createDataFrame(right, schema.format("b"))
+    solid = [x for x in left if x[2] is not None and x[2] < x[4]]
+    want = sorted((x[0], x[1]) for x in solid if any(_meet(x, y) for y in solid if y[1] != x[1]))
+    assert sorted(map(tuple, overlapping(a, ["s"], "a", width=width).collect())) == want
+    assert not {900, 901, 902, 903, 904, 905} & {k for _, k in want}
+    assert sorted(r["a"] for r in overlaps_any(a, b, ["s"], "a", "b", width=width).collect()) == sorted(x[1] for x in solid if any(_meet(x, y) for y in right))
+
+
+def test_rows_per_box_grow_with_the_logarithm_of_its_height(spark):
+    from redliner.operators.overlap import _cells, _spans
+
+    boxes = spark.range(2_000).select(F.lit(1).alias("s"), "id", F.lit(0.0).alias("x1"), F.lit(1.0).alias("x2"), (F.col("id") / 7).alias("y1"), (F.col("id") / 7 + 1 + F.col("id") % 90).alias("y2"))
+    spans, top = _spans(boxes, ["s"], 100)
+    per_box = _cells(spans, top).groupBy("id", "hold").count().join(spans, "id")
+    assert per_box.filter(F.col("hold") & (F.col("count") > 2 * F.log2(F.col("high") - F.col("low")) + 2)).isEmpty()
+    assert per_box.filter(~F.col("hold") & (F.col("count") > 2 * (top + 1))).isEmpty()
