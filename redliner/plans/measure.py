@@ -9,6 +9,7 @@ from redliner.functions import geometry as g
 from redliner.functions.review import lookup
 from redliner.operators.asof import nearest_join
 from redliner.operators.keyed import latest_per_key, parsed
+from redliner.operators.hull import farthest_pair
 from redliner.operators.routing import shortest_to_sources
 from redliner.operators.scan import every, last_value, ordered_scan
 
@@ -140,50 +141,6 @@ def egress_routed(doors: DataFrame, exits: DataFrame, rooms: DataFrame | None =
     return reach.groupBy("sheet_id").agg(F.max("distance").alias("travel"), F.count(F.lit(1)).alias("reached"))
 
 
-def _farthest(xs, ys):
-    """Largest distance in each pair of coordinate arrays: hull first, then its vertices."""
-    import numpy as np
-    import pandas as pd
-
-    def one(x, y):
-        if x is None or len(x) < 2:
-            return 0.0 if x is not None and len(x) == 1 else None
-        p = np.unique(np.column_stack([np.asarray(x, float), np.asarray(y, float)]), axis=0)
-        if len(p) > 64:
-            chain = []
-            for sweep in (p, p[::-1]):
-                start = len(chain)
-                for q in sweep:
-                    while len(chain) - start >= 2:
-                        (ax, ay), (bx, by) = chain[-2], chain[-1]
-                        if (bx - ax) * (q[1] - ay) - (by - ay) * (q[0] - ax) > 0:
-                            break
-                        chain.pop()
-                    chain.append((q[0], q[1]))
-                chain.pop()
-            p = np.array(chain)
-        d = ((p[:, None, :] - p[None, :, :]) ** 2).sum(-1)
-        return float(np.sqrt(d.max()))
-
-    return pd.Series([one(x, y) for x, y in zip(xs, ys)])
-
-
-def farthest_pair(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Largest distance between two points of each group.
-
-    Only the lowest and highest point of every x, and of those the leftmost and
-    rightmost of every y, can be hull corners. Both reductions run map-side, so
-    at most two points per distinct coordinate of a sheet reach the final step.
-    """
-    by_x = points.groupBy(*keys, "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    ends = by_x.select(*keys, "x", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"))
-    by_y = ends.groupBy(*keys, "y").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    corners = by_y.select(*keys, "y", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("x"))
-    nested = corners.groupBy(*keys).agg(F.collect_list(F.struct("x", "y")).alias("p"))
-    longest = F.pandas_udf(_farthest, "double")
-    return nested.select(*keys, longest(F.transform("p", lambda q: q["x"]), F.transform("p", lambda q: q["y"])).alias("farthest"))
-
-
 def exit_separation(exits: DataFrame, floors: DataFrame) -> DataFrame:
     """Exit distance over floor diagonal; ``floors`` has sheet_id and diagonal. Below one half is a finding."""
     d = farthest_pair(exits, ["sheet_id"])

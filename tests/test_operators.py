@@ -11,6 +11,7 @@ from redliner.operators import scan
 from redliner.operators.asof import asof_join, nearest_join, validity_intervals
 from redliner.operators.keyed import latest_per_key, majority, outliers
 from redliner.operators.matching import Tier, tiered_assignment
+from redliner.operators import hull
 from redliner.operators.overlap import overlapping, overlaps_any
 from redliner.operators.routing import shortest_to_sources
 from redliner.plans import measure
@@ -120,7 +121,7 @@ def test_overlaps_any_equals_brute_force(spark, width):
 def test_farthest_pair_equals_brute_force(spark):
     rng = random.Random(1)
     pts = [(s, float(rng.randrange(300)), float(rng.randrange(300))) for s in (0,) * 500 + (1,) * 7 + (2,)]
-    got = {r["s"]: r["farthest"] for r in measure.farthest_pair(spark.createDataFrame(pts, "s long, x double, y double"), ["s"]).collect()}
+    got = {r["s"]: r["farthest"] for r in hull.farthest_pair(spark.createDataFrame(pts, "s long, x double, y double"), ["s"]).collect()}
     for s in (0, 1, 2):
         own = [p for p in pts if p[0] == s]
         assert got[s] == pytest.approx(max(math.dist(p[1:], q[1:]) for p in own for q in own))
@@ -128,7 +129,7 @@ def test_farthest_pair_equals_brute_force(spark):
 
 def test_farthest_pair_on_a_line(spark):
     pts = [(0, float(i), float(2 * i)) for i in range(200)]
-    got = measure.farthest_pair(spark.createDataFrame(pts, "s long, x double, y double"), ["s"]).first()["farthest"]
+    got = hull.farthest_pair(spark.createDataFrame(pts, "s long, x double, y double"), ["s"]).first()["farthest"]
     assert got == pytest.approx(math.dist((0, 0), (199, 398)))
 
 
@@ -241,3 +242,39 @@ def test_rows_per_box_grow_with_the_logarithm_of_its_height(spark):
     per_box = _cells(spans, top).groupBy("id", "hold").count().join(spans, "id")
     assert per_box.filter(F.col("hold") & (F.col("count") > 2 * F.log2(F.col("high") - F.col("low")) + 2)).isEmpty()
     assert per_box.filter(~F.col("hold") & (F.col("count") > 2 * (top + 1))).isEmpty()
+
+
+def test_hull_and_calipers_equal_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    shapes = [rng.random((n, 2)) for n in (1, 2, 3, 4, 5, 70, 900)] + [rng.integers(0, 4, (60, 2)).astype(float) for _ in range(40)]
+    turn = np.linspace(0, 2 * np.pi, 301)
+    shapes += [np.column_stack([np.cos(turn), np.sin(turn)]), np.zeros((9, 2)), np.column_stack([np.arange(80.0), np.zeros(80)]), np.array([[0.0, 0], [4, 0], [4, 3], [0, 3]])]
+    for p in shapes:
+        want = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1).max())
+        assert abs(hull.diameter(hull.corners(p)) - want) <= 1e-12 * max(want, 1)
+
+
+def test_farthest_pair_of_groups_over_many_batches(spark):
+    rng = random.Random(6)
+    sizes = [1, 2, 15, 16, 17, 40, 3, 3, 1, 200, 16, 5]
+    points = [(s % 3, s, rng.random(), rng.random()) for s, n in enumerate(sizes) for _ in range(n)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        found = hull.farthest_pair(spark.createDataFrame(points, "a long, s long, x double, y double"), ["a", "s"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(sizes)
+    for r in found:
+        own = [p[2:] for p in points if p[1] == r["s"]]
+        assert r["a"] == r["s"] % 3 and r["farthest"] == pytest.approx(max(math.dist(p, q) for p in own for q in own), abs=1e-12)
+
+
+def test_farthest_pair_of_a_hundred_thousand_points_of_one_sheet(spark):
+    points = spark.range(100_000).select(F.lit("s").alias("s"), (F.sin(F.col("id") * 12.9898) * F.cos(F.col("id") * 0.37)).alias("x"), F.cos(F.col("id") * 78.233).alias("y"))
+    extra = spark.createDataFrame([("s", -7.25, 0.5), ("s", 6.5, -0.125), ("one", 1.0, 1.0), (None, 0.0, 0.0), (None, 3.0, 4.0), ("bad", None, 1.0), ("bad", float("nan"), 1.0)], "s string, x double, y double")
+    found = hull.farthest_pair(points.union(extra), ["s"])
+    plan = found._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    assert {r["s"]: r["farthest"] for r in found.collect()} == {"s": (13.75 ** 2 + 0.625 ** 2) ** 0.5, "one": 0.0, None: 5.0}
