@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from redliner.catalog import adapters as a
 from redliner.catalog.base import Tables, query
 from redliner.functions import review as r
-from redliner.operators.scan import every
 from redliner.plans import review as rv
 
 SEV = r.SEVERITIES
@@ -96,7 +95,7 @@ SQL_LETTER_NO = f"""{SQL_FINDINGS}, n AS (SELECT *, row_number() OVER (PARTITION
 
 def letter(t: Tables):
     """One letter per project and round."""
-    return rv.number_letter(findings(t), ["project_id", "round"], ["sheet_id", "finding_id"], every(F.col("sheet_id"), 10))
+    return rv.number_letter(findings(t), ["project_id", "round"], ["sheet_id", "finding_id"])
 
 
 @query("E2 F3 M21", f"WITH {SQL_LETTER_NO} SELECT project_id, round, finding_id, discipline, comment_number FROM n")
@@ -118,7 +117,7 @@ def letter_bundle(t: Tables):
 SELECT project_id, round, finding_id, CASE severity WHEN 'revise' THEN 'attention' WHEN 'reference_only' THEN 'optional' ELSE 'recommend' END AS label,
   row_number() OVER (PARTITION BY project_id, round ORDER BY list_position(['revise', 'provide', 'clarify', 'reference_only'], severity), confidence, finding_id) AS queue_position FROM q""")
 def remediation_queue(t: Tables):
-    q = rv.remediation_queue(findings(t), ["project_id", "round"], "finding_id", F.floor(F.col("confidence") * 4))
+    q = rv.remediation_queue(findings(t), ["project_id", "round"], "finding_id")
     return q.select("project_id", "round", "finding_id", r.designer_severity(F.col("severity")).alias("label"), "queue_position")
 
 

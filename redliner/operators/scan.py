@@ -5,7 +5,8 @@ chunks of its own ordering: windows run inside a chunk, one summary row per
 chunk is built with partial aggregation, a second window runs over the few
 summaries of a group, and its result is joined back as the chunk's offset.
 Chunks are a function of the row alone, so a recomputed task gives the same
-answer.
+answer. Where no column spreads a hot group well, ``equi_depth`` cuts the whole
+ordering into chunks of about equal size.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redliner.session import durable
+
+#: chunk column of ``equi_depth``
+DEPTH = "__depth"
+
 
 @dataclass(frozen=True)
 class Step:
@@ -68,19 +74,36 @@ def by_month(column: Column) -> Column:
     return F.date_trunc("MONTH", column)
 
 
+def equi_depth(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """Rows with a chunk number in ``__depth`` that follows keys and order, in chunks of about equal size.
+
+    Splitters come from Spark's own sample of the keys and the whole order, so
+    rows of one key and day, or of one confidence, are cut apart by what orders
+    them further. The result is written: its chunks stay what they are whoever
+    reads it, and however often. ``parts``: number of chunks, by default that of
+    the session's shuffle partitions, fewer for little data.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return durable(ranged.withColumn(DEPTH, F.spark_partition_id()))
+
+
 def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    chunk: Column,
+    chunk: Column | None,
     steps: Mapping[str, Step],
 ) -> DataFrame:
     """Add one column per step, computed along ``order`` inside each group of ``keys``.
 
     ``chunk`` must not decrease along ``order``; keys and chunk must not be
-    null. ``order`` is ascending and should be total.
+    null. ``order`` is ascending and should be total. Without a chunk the rows
+    are cut by ``equi_depth``.
     """
     keys = list(keys)
+    if chunk is None:
+        return ordered_scan(equi_depth(df, keys, order), keys, order, F.col(DEPTH), steps).drop(DEPTH)
     named = df.withColumn("__chunk", chunk)
     order_names = []
     for i, column in enumerate(order):

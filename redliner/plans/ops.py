@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redliner.functions.text import content_hash, house_number, street_name
-from redliner.operators.scan import by_day, last_value, ordered_scan, position, running_sum
+from redliner.operators.scan import DEPTH, equi_depth, last_value, ordered_scan, position, running_sum
 from redliner.operators.validate import union_all
 
 # Cost envelope per step of a 50-sheet project, in dollars.
@@ -75,7 +75,7 @@ def throughput(events: DataFrame, stage: str, ts: str, unit: str = "HOUR") -> Da
 
 def queue_depth(events: DataFrame, keys: Sequence[str], ts: str, change: Column, row_id: str) -> DataFrame:
     """Running queue depth after each event; ``change`` is +1 for enqueue and -1 for completion."""
-    return ordered_scan(events, keys, [F.col(ts), F.col(row_id)], by_day(F.col(ts)), {"depth": running_sum(change)})
+    return ordered_scan(events, keys, [F.col(ts), F.col(row_id)], None, {"depth": running_sum(change)})
 
 
 # --- alerts over logs in batch ------------------------------------------------------
@@ -90,11 +90,11 @@ def error_windows(calls: DataFrame, minutes: int = 5, limit: float = 0.10) -> Da
 
 def success_streaks(calls: DataFrame, need: int = 10) -> DataFrame:
     """Runs of successes between failures per service: length, start, and when the run reached ``need``."""
-    islands = ordered_scan(
-        calls, ["service"], [F.col("ts"), F.col("event_id")], by_day(F.col("ts")),
-        {"island": running_sum(F.col("failed").cast("int"))},
-    ).filter(~F.col("failed"))
-    numbered = ordered_scan(islands, ["service", "island"], [F.col("ts"), F.col("event_id")], by_day(F.col("ts")), {"n": position()})
+    order = [F.col("ts"), F.col("event_id")]
+    # islands follow the same order, so both scans share the chunks
+    cut, chunk = equi_depth(calls, ["service"], order), F.col(DEPTH)
+    islands = ordered_scan(cut, ["service"], order, chunk, {"island": running_sum(F.col("failed").cast("int"))}).filter(~F.col("failed"))
+    numbered = ordered_scan(islands, ["service", "island"], order, chunk, {"n": position()})
     return numbered.groupBy("service", "island").agg(
         F.max("n").alias("length"), F.min("ts").alias("started_at"), F.min(F.when(F.col("n") == need, F.col("ts"))).alias("recovered_at")
     )
@@ -103,9 +103,10 @@ def success_streaks(calls: DataFrame, need: int = 10) -> DataFrame:
 def sessions(events: DataFrame, key: str, ts: str, row_id: str, gap_seconds: int = 1800) -> DataFrame:
     """Activity sessions per key: a pause longer than the gap starts a new one."""
     at = F.col(ts)
-    previous = ordered_scan(events, [key], [at, F.col(row_id)], by_day(at), {"__prev": last_value(at, inclusive=False)})
+    cut, chunk = equi_depth(events, [key], [at, F.col(row_id)]), F.col(DEPTH)
+    previous = ordered_scan(cut, [key], [at, F.col(row_id)], chunk, {"__prev": last_value(at, inclusive=False)})
     new = F.col("__prev").isNull() | (_micros(at) - _micros(F.col("__prev")) > gap_seconds * 1_000_000)
-    marked = ordered_scan(previous, [key], [at, F.col(row_id)], by_day(at), {"session_no": running_sum(new.cast("int"))})
+    marked = ordered_scan(previous, [key], [at, F.col(row_id)], chunk, {"session_no": running_sum(new.cast("int"))})
     return marked.groupBy(key, "session_no").agg(
         F.count(F.lit(1)).alias("events"), F.min(at).alias("started_at"), F.max(at).alias("ended_at")
     )
@@ -120,7 +121,7 @@ def overdue(enqueued: DataFrame, completed: DataFrame, minutes: int = 10) -> Dat
 
 def drain_plan(deferred: DataFrame, per_slot: int) -> DataFrame:
     """First-in-first-out position of each deferred call and the slot it drains in."""
-    numbered = ordered_scan(deferred, [], [F.col("ts"), F.col("event_id")], by_day(F.col("ts")), {"fifo": position()})
+    numbered = ordered_scan(deferred, [], [F.col("ts"), F.col("event_id")], None, {"fifo": position()})
     return numbered.withColumn("slot", F.floor((F.col("fifo") - 1) / per_slot))
 
 

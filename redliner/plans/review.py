@@ -69,16 +69,15 @@ def issue_ages(findings: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return aged.withColumn("typography", typography(F.col("age")))
 
 
-def number_letter(findings: DataFrame, keys: list[str], within: list[str], chunk: Column) -> DataFrame:
+def number_letter(findings: DataFrame, keys: list[str], within: list[str], chunk: Column | None = None) -> DataFrame:
     """Letter-wide numbers from 1 across the disciplines in their fixed order.
 
-    ``within`` orders the comments of a discipline; ``chunk`` follows the first
-    of these columns and cuts a very large letter into pieces.
+    ``within`` orders the comments of a discipline. A ``chunk`` that follows the
+    first of these columns may cut the letter; without one it is cut evenly.
     """
     ranked = findings.withColumn("discipline_rank", discipline_rank(F.col("discipline")))
     order = [F.col("discipline_rank"), *[F.col(c) for c in within]]
-    # the chunk must follow the whole order: rank first, then position inside the discipline
-    piece = F.struct(F.col("discipline_rank"), chunk)
+    piece = None if chunk is None else F.struct(F.col("discipline_rank"), chunk)
     return ordered_scan(ranked, keys, order, piece, {"comment_number": position()})
 
 
@@ -134,11 +133,11 @@ def red_findings(answers: DataFrame, severity: str = "revise") -> DataFrame:
     )
 
 
-def remediation_queue(findings: DataFrame, keys: list[str], row_id: str, chunk: Column) -> DataFrame:
-    """Queue position by severity, then lowest confidence. ``chunk`` follows the confidence."""
+def remediation_queue(findings: DataFrame, keys: list[str], row_id: str) -> DataFrame:
+    """Queue position by severity, then lowest confidence."""
     ranked = findings.withColumn("severity_rank", severity_rank(F.col("severity")))
     order = [F.col("severity_rank"), F.col("confidence"), F.col(row_id)]
-    return ordered_scan(ranked, keys, order, F.struct("severity_rank", chunk), {"queue_position": position()})
+    return ordered_scan(ranked, keys, order, None, {"queue_position": position()})
 
 
 def open_badges(findings: DataFrame) -> DataFrame:

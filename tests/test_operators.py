@@ -278,3 +278,32 @@ def test_farthest_pair_of_a_hundred_thousand_points_of_one_sheet(spark):
     plan = found._jdf.queryExecution().toString()
     assert "collect_list" not in plan
     assert {r["s"]: r["farthest"] for r in found.collect()} == {"s": (13.75 ** 2 + 0.625 ** 2) ** 0.5, "one": 0.0, None: 5.0}
+
+
+def test_equi_depth_chunks_of_hot_keys_and_ties(spark):
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 30)).alias("service"),
+        F.when(F.col("id") % 10 < 9, F.lit(0.5)).otherwise(F.col("id") / 20_000).alias("confidence"), F.xxhash64("id").alias("row"))
+    order = [F.col("confidence"), F.col("row")]
+    cut = scan.equi_depth(rows, ["service"], order, parts=16)
+    sizes = [r["count"] for r in cut.groupBy(scan.DEPTH).count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) >= 14 and max(sizes) < 2 * 20_000 / 16
+    inside = Window.partitionBy("service").orderBy(*order)
+    steps = {"n": scan.position(), "total": scan.running_sum(F.col("row") % 7), "before": scan.last_value(F.col("row"), inclusive=False), "after": scan.next_value(F.col("row")),
+             "later": scan.following(F.when(F.col("row") % 5 == 0, F.col("row")))}
+    got = scan.ordered_scan(cut, ["service"], order, F.col(scan.DEPTH), steps).drop(scan.DEPTH)
+    want = rows.select("*", F.row_number().over(inside).cast("long").alias("n"), F.sum(F.col("row") % 7).over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("total"),
+                       F.lag("row").over(inside).alias("before"), F.lead("row").over(inside).alias("after"), F.lit(None).cast("long").alias("later"))
+    assert got.drop("later").exceptAll(want.drop("later")).isEmpty() and got.count() == 20_000
+    # the first later row with a value, by a plain join of positions
+    marked = got.filter("row % 5 = 0").select(F.col("service").alias("s"), F.col("n").alias("m"), "row").withColumnRenamed("row", "value")
+    nearest = got.join(marked, (F.col("service") == F.col("s")) & (F.col("m") > F.col("n")) & (F.col("m") <= F.col("n") + 200), "left").groupBy("service", "n").agg(
+        F.first("later").alias("later"), F.min_by("value", "m").alias("value"))
+    assert nearest.filter("not later <=> value").isEmpty()
+
+
+def test_scan_without_a_chunk(spark):
+    rows = spark.createDataFrame([("a", k % 7, k) for k in range(50)], "g string, o long, id long")
+    got = scan.ordered_scan(rows, ["g"], [F.col("o"), F.col("id")], None, {"n": scan.position()})
+    assert got.columns == ["g", "o", "id", "n"]
+    assert [r["id"] for r in got.orderBy("n").collect()] == sorted(range(50), key=lambda k: (k % 7, k))
