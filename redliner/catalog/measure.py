@@ -105,6 +105,21 @@ def egress_straight(t: Tables):
     return m.egress_straight(points, exits).withColumn("travel", F.round("travel", 6))
 
 
+SQL_PLACES = f"""pt AS (SELECT l_suppkey AS sheet_id, {ROW_ID} AS point_id, l_partkey % 701 + l_discount AS x, l_orderkey % 523 + l_tax AS y, l_partkey % 37 = 0 AND l_suppkey % 10 <> 3 AS is_exit FROM lineitem)"""
+
+
+@query("L4", f"""WITH {SQL_PLACES}, e AS (SELECT DISTINCT sheet_id, point_id AS exit_id, x AS ex, y AS ey FROM pt WHERE is_exit),
+d AS (SELECT p.sheet_id, p.point_id, min(sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))) AS distance,
+  arg_min(exit_id, (sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)), exit_id)) AS exit_id FROM (SELECT DISTINCT * FROM pt) p LEFT JOIN e ON e.sheet_id = p.sheet_id GROUP BY 1, 2)
+SELECT sheet_id, round(max(distance), 6) AS travel, count(*) AS points, count(*) FILTER (WHERE distance IS NULL) AS unserved, count(DISTINCT exit_id) AS exits_used FROM d GROUP BY 1""")
+def egress_nearest(t: Tables):
+    points = t.lineitem.select(
+        F.col("l_suppkey").alias("sheet_id"), row_id().alias("point_id"), (F.col("l_partkey") % 701 + F.col("l_discount")).alias("x"), (F.col("l_orderkey") % 523 + F.col("l_tax")).alias("y"),
+        ((F.col("l_partkey") % 37 == 0) & (F.col("l_suppkey") % 10 != 3)).alias("is_exit")).distinct()
+    exits = points.filter("is_exit").withColumnRenamed("point_id", "exit_id")
+    return m.egress_nearest(points, exits).withColumn("travel", F.round("travel", 6))
+
+
 @query("L5", """WITH RECURSIVE n AS (SELECT l_orderkey AS s, l_linenumber AS n, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
 ed AS (SELECT a.s, a.n AS a, b.n AS b, a.q + b.q AS len FROM n a JOIN n b ON a.s = b.s AND b.n IN (a.n + 1, a.n + 3)),
 b2 AS (SELECT s, a, b, len FROM ed UNION ALL SELECT s, b, a, len FROM ed),

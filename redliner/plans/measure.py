@@ -10,6 +10,7 @@ from redliner.functions.review import lookup
 from redliner.operators.asof import nearest_join
 from redliner.operators.keyed import latest_per_key, parsed
 from redliner.operators.hull import farthest_pair
+from redliner.operators.nearest import nearest_place
 from redliner.operators.routing import shortest_to_sources
 from redliner.operators.scan import every, last_value, ordered_scan
 
@@ -133,6 +134,19 @@ def egress_straight(points: DataFrame, exits: DataFrame) -> DataFrame:
     return joined.groupBy("sheet_id").agg(F.max(g.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey"))).alias("travel"))
 
 
+def egress_nearest(points: DataFrame, exits: DataFrame) -> DataFrame:
+    """Straight-line travel per floor from every point to its nearest exit; points need not name one.
+
+    ``points``: sheet_id, point_id, x, y; ``exits``: sheet_id, exit_id, x, y.
+    ``travel`` is the longest way, null on a floor without exits; ``unserved``
+    counts the points of such a floor.
+    """
+    found = nearest_place(points, exits, ["sheet_id"], "point_id", "exit_id")
+    return found.groupBy("sheet_id").agg(
+        F.max("distance").alias("travel"), F.count(F.lit(1)).alias("points"), F.count_if(F.col("distance").isNull()).alias("unserved"),
+        F.count_distinct("exit_id").alias("exits_used"))
+
+
 def egress_routed(doors: DataFrame, exits: DataFrame, rooms: DataFrame | None = None) -> DataFrame:
     """Travel distance per floor routed through doorways: the longest of the shortest room-to-exit paths."""
     reach = shortest_to_sources(doors, exits, ["sheet_id"])

@@ -307,3 +307,20 @@ def test_scan_without_a_chunk(spark):
     got = scan.ordered_scan(rows, ["g"], [F.col("o"), F.col("id")], None, {"n": scan.position()})
     assert got.columns == ["g", "o", "id", "n"]
     assert [r["id"] for r in got.orderBy("n").collect()] == sorted(range(50), key=lambda k: (k % 7, k))
+
+
+def test_nearest_place_equals_brute_force(spark):
+    from redliner.operators.nearest import nearest_place
+
+    rng = random.Random(9)
+    places = [(0, f"e{k}", rng.gauss(0, 1), rng.gauss(0, 1)) for k in range(40)] + [(1, "only", 5.0, 5.0), (1, "twin", 5.0, 5.0), (4, "bad", None, 1.0), (5, "line1", 0.0, 0.0), (5, "line2", 10.0, 0.0)]
+    points = [(0, k, rng.gauss(0, 3), rng.gauss(0, 3)) for k in range(400)] + [(0, 900, 1e6, -1e6), (0, 901, None, 0.0), (1, 1, 5.0, 5.0), (1, 2, -1e5, 0.0), (2, 1, 0.0, 0.0), (4, 1, 0.0, 0.0), (5, 1, 5.0, 0.0), (5, 2, 4.0, 3.0)]
+    found = nearest_place(spark.createDataFrame(points, "s long, p long, x double, y double"), spark.createDataFrame(places, "s long, e string, x double, y double"), ["s"], "p", "e")
+    got = {(r["s"], r["p"]): (r["e"], r["distance"]) for r in found.collect()}
+    assert len(got) == len(points)
+    for s, p, x, y in points:
+        near = min(((math.sqrt((x - a) ** 2 + (y - b) ** 2), e) for t, e, a, b in places if t == s and a is not None), default=None) if x is not None else None
+        e, d = got[s, p]
+        assert (near is None and e is None and d is None) or (e == near[1] and d == pytest.approx(near[0], rel=1e-12))
+    empty = spark.createDataFrame([], "s long, e string, x double, y double")
+    assert nearest_place(spark.createDataFrame(points, "s long, p long, x double, y double"), empty, ["s"], "p", "e").filter("e is not null or distance is not null").isEmpty()
