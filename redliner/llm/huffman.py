@@ -111,34 +111,58 @@ class Code:
         return out.T.reshape(-1)[:n]
 
 
-def _raw_blocks(path: str, end: int, block: int):
-    """Tokens of documents that come in order, in blocks of whole documents."""
+#: runs that a worker remembers here, where one tokenizer has a task to itself
+REMEMBERED = 500_000
+
+
+def _encoded(path: str, end: int):
+    """The ids of each document and the end id, as little-endian 16-bit integers; other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shard = tokenizer(path), TaskContext.get().partitionId()
-        tail = np.array([end], "<u2").tobytes()
-        owners, raws, held, number, first = [], [], 0, 0, 0
+        words, tail = tokenizer(path, REMEMBERED), np.array([end], "<u2").tobytes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                raw = [r + tail for r in words.encode(part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(raw, pa.binary())], names=["id", "tie", "row", "raw"])
+
+    return run
+
+
+def _blocks(code: Code, block: int):
+    """Coded blocks of whole documents that come in order; a block is cut from slices of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+        owners, sizes, tokens, held, number, first = [], [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            sizes = [len(r) // 2 for r in raws]
-            ids = pa.concat_arrays(owners)
+            ids, lengths = pa.concat_arrays(owners), np.concatenate(sizes)
+            bits, checkpoints = code.encode(np.concatenate(tokens))
+            whole = pa.array([0, len(ids)], pa.int32())
             return pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([sizes], pa.list_(pa.int64())), pa.array([b"".join(raws)], pa.binary())],
-                names=["shard", "block", "first", "n_ids", "ids", "sizes", "raw"])
+                 pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, pa.array(lengths)), pa.array([checkpoints], pa.binary()), pa.array([bits], pa.binary())],
+                names=["shard", "block", "first", "n_ids", "ids", "sizes", "checkpoints", "bits"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for n, raw in enumerate(words.encode(part.column(1).to_pylist())):
-                    owners.append(part.column(0).slice(n, 1))
-                    raws.append(raw + tail)
-                    held += len(raws[-1]) // 2
-                    if held >= block:
-                        yield close()
-                        number, first = number + 1, first + held
-                        owners, raws, held = [], [], 0
-        if raws:
+            raw = batch.column(1)
+            ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + batch.num_rows + 1].astype(np.int64) // 2
+            all_tokens = np.frombuffer(raw.buffers()[2], "<u2")
+            at = 0
+            while at < batch.num_rows:
+                # up to the document that fills the block
+                to = min(int(np.searchsorted(ends[1:], ends[at] + block - held)) + 1, batch.num_rows)
+                owners.append(batch.column(0).slice(at, to - at))
+                sizes.append(np.diff(ends[at:to + 1]))
+                tokens.append(all_tokens[ends[at]:ends[to]])
+                held += int(ends[to] - ends[at])
+                at = to
+                if held >= block:
+                    yield close()
+                    number, first = number + 1, first + held
+                    owners, sizes, tokens, held = [], [], [], 0
+        if owners:
             yield close()
 
     return run
@@ -168,9 +192,8 @@ def write_ids(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "tex
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     order = ["id", "tie", "row"]
     kind = docs.schema[id].dataType.simpleString()
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
-    raw = durable(ordered.mapInArrow(_raw_blocks(path or vocabulary_path(), end, block),
-                                     f"shard int, block int, first long, n_ids long, ids array<{kind}>, sizes array<bigint>, raw binary"), "zstd")
+    # ids are half as long as texts, and the range of the order is found from the written columns alone
+    raw = durable(rows.select("id", "tie", "row", "text").mapInArrow(_encoded(path or vocabulary_path(), end), f"id {kind}, tie long, row long, raw binary"), "zstd")
     counts = np.zeros(SYMBOLS, np.int64)
     for row in raw.select("raw").mapInArrow(_counted, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[row["symbol"]] = row["n"]
@@ -178,17 +201,8 @@ def write_ids(docs: DataFrame, folder: str, id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     code = [(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)]
     spark.createDataFrame(code, "symbol int, length int").coalesce(1).write.parquet(f"{folder}/code")
-    made = Code(lengths)
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(b.num_rows):
-                one = b.slice(at, 1)
-                bits, checkpoints = made.encode(np.frombuffer(one.column("raw")[0].as_buffer(), "<u2"))
-                yield pa.RecordBatch.from_arrays([*one.columns[:6], pa.array([checkpoints], pa.binary()), pa.array([bits], pa.binary())],
-                                                 names=[*one.schema.names[:6], "checkpoints", "bits"])
-
-    blocks = raw.mapInArrow(coded, f"shard int, block int, first long, n_ids long, ids array<{kind}>, sizes array<bigint>, checkpoints binary, bits binary")
+    ordered = raw.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "raw")
+    blocks = ordered.mapInArrow(_blocks(Code(lengths), block), f"shard int, block int, first long, n_ids long, ids array<{kind}>, sizes array<bigint>, checkpoints binary, bits binary")
     blocks.write.option("compression", "uncompressed").partitionBy("shard").parquet(f"{folder}/blocks")
 
 

@@ -91,14 +91,14 @@ class WordTokenizer:
         return [self._with_special(t) if any(s in t for s in special) else b"".join(map(ids, t.lower().split())) for t in raw]
 
 
-_OPEN: dict[str, WordTokenizer] = {}
+_OPEN: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, remembered: int = REMEMBERED) -> WordTokenizer:
     """The tokenizer of this worker process."""
-    if path not in _OPEN:
-        _OPEN[path] = WordTokenizer(path)
-    return _OPEN[path]
+    if (path, remembered) not in _OPEN:
+        _OPEN[path, remembered] = WordTokenizer(path, remembered)
+    return _OPEN[path, remembered]
 
 
 def vocabulary_path(name: str = NAME) -> str:
