@@ -166,6 +166,20 @@ def domain_audit(t: Tables):
         "text_required": v.has_text("txt"), "bbox_shape": v.box_shape("bbox")})
 
 
+def _one_bad(domain: str) -> list[str]:
+    """The words of a domain and one that is none of it."""
+    return [*v.DOMAINS[domain], f"no {domain}"]
+
+
+@query("B10", " UNION ALL ".join(
+    f"""SELECT '{d.replace('.', '_')}' AS "check", count_if(l_partkey % {len(v.DOMAINS[d]) + 2} = {len(v.DOMAINS[d])}) AS violations FROM lineitem""" for d in v.DOMAINS))
+def domain_audit_all(t: Tables):
+    """Every enumerated column of the data model, null now and then, which is allowed."""
+    k = F.col("l_partkey")
+    rows = t.lineitem.select(*[a.pick([*_one_bad(d), None], k).alias(d.replace(".", "_")) for d in v.DOMAINS])
+    return v.violations(rows, {c: v.in_domain(c, d) for d in v.DOMAINS for c in [d.replace(".", "_")]})
+
+
 @query("D27 M24", """SELECT 'finding_evidence' AS "check", count_if(l_suppkey % 50 = 0) AS violations FROM lineitem UNION ALL SELECT 'finding_rule_version', 0 UNION ALL SELECT 'finding_text', count_if(l_partkey % 40 = 0) FROM lineitem
 UNION ALL SELECT 'citation_frozen_text', count_if(o_orderkey % 30 = 0) FROM orders UNION ALL SELECT 'citation_chain', count_if(o_orderkey % 4 = 0) FROM orders
 UNION ALL SELECT 'measurement_trace', count_if(p_size % 5 = 0) FROM part UNION ALL SELECT 'measurement_confidence', count_if(p_size > 48) FROM part""")

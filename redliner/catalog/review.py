@@ -113,6 +113,54 @@ def letter_bundle(t: Tables):
         F.element_at(back, -1)["finding_id"].alias("last_finding"))
 
 
+def acted_letter(t: Tables):
+    """Letters of the findings that reviewers let through: a return flag A approves, R edits, N of a finished order rejects."""
+    f = findings(t).join(t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("finding_id"), "l_returnflag", "l_linestatus"), "finding_id")
+    f = f.withColumn("draft_comment_text", F.concat(F.lit("Comment "), F.col("finding_id"))).withColumn(
+        "crop_uri", F.when(F.col("l_orderkey") % 4 != 0, F.concat(F.lit("crops/"), F.col("project_id").cast("string"), F.lit("/"), F.col("finding_id"), F.lit(".png"))))
+    kind = F.when(F.col("l_returnflag") == "A", "approve").when(F.col("l_returnflag") == "R", "edit").when(F.col("l_linestatus") == "F", "reject")
+    acts = f.select(F.col("finding_id").alias("action_id"), "finding_id", kind.alias("action"), F.concat(F.lit("Edited "), F.col("finding_id")).alias("text"),
+                    F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    state = rv.current_state(f, acts)
+    return rv.assembled_letter(state, ["project_id", "round"], ["sheet_id", "finding_id"])
+
+
+SQL_SENT = f"""{SQL_FINDINGS}, acted AS (SELECT f.*, l.l_returnflag FROM f JOIN (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS finding_id, l_returnflag FROM lineitem) l USING (finding_id) WHERE l_returnflag IN ('A', 'R')),
+sent AS (SELECT project_id, round, finding_id, discipline, sheet_id, row_number() OVER (PARTITION BY project_id, round ORDER BY dr, sheet_id, finding_id) AS comment_number,
+  CASE l_returnflag WHEN 'R' THEN 'Edited ' ELSE 'Comment ' END || finding_id AS comment_text,
+  CASE WHEN l_orderkey % 4 <> 0 THEN 'crops/' || project_id || '/' || finding_id || '.png' END AS crop_uri,
+  CASE round - min(round) OVER (PARTITION BY project_id, discipline, rule_id, sheet_id, tag) WHEN 0 THEN 'italic' WHEN 1 THEN 'bold' ELSE 'underlined' END AS style FROM acted)"""
+
+
+@query("C24 M21", f"WITH {SQL_SENT} SELECT *, '' AS response FROM sent")
+def letter_full(t: Tables):
+    return acted_letter(t).select("project_id", "round", "finding_id", "discipline", "sheet_id", "comment_number", "comment_text", "crop_uri", "style", "response")
+
+
+@query("A14 M21 C24", f"""WITH {SQL_SENT}, h AS (SELECT s_suppkey AS project_id, r.round, s_suppkey * 10 + r.round AS submittal_id, n_name AS jurisdiction, 'v' || n_regionkey AS pack_version, 'B' || s_suppkey AS permit_number,
+  s_name AS description FROM supplier JOIN nation ON n_nationkey = s_nationkey, (SELECT unnest(range(1, 9)) AS round) r)
+SELECT h.project_id, h.round, coalesce((comment_number - 1) // 25 + 1, 1) AS part, count(finding_id) AS n_findings, submittal_id::VARCHAR AS submittal_id, jurisdiction, pack_version, jurisdiction AS city, h.round AS review_round,
+  permit_number, description, md5(coalesce(string_agg(comment_number || ' ' || comment_text || ' ' || style || ' ' || coalesce(crop_uri, '-'), chr(10) ORDER BY comment_number), '')) AS comments_md5
+FROM h LEFT JOIN sent ON sent.project_id = h.project_id AND sent.round = h.round GROUP BY ALL""")
+def letter_bundle_full(t: Tables):
+    """Bundles with letterhead, project block and instructions, read back from their JSON; a round without comments has one too."""
+    number = F.col("round").cast("string")
+    headers = t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(8)))).select(
+        F.col("s_suppkey").alias("project_id"), "round", (F.col("s_suppkey") * 10 + F.col("round")).cast("string").alias("submittal_id"), F.col("round").alias("review_round"),
+        F.col("n_name").alias("jurisdiction"), F.concat(F.lit("v"), F.col("n_regionkey").cast("string")).alias("pack_version"), F.concat(F.lit("2024-01-0"), number, F.lit("T00:00:00Z")).alias("generated_at"),
+        F.struct(F.col("n_name").alias("city"), number.alias("review_round")).alias("letterhead"),
+        F.struct(F.col("s_name").alias("description"), F.concat(F.lit("B"), F.col("s_suppkey").cast("string")).alias("permit_number")).alias("project_block"),
+        F.lit("Respond to each comment and cloud all revisions.").alias("general_instructions"), F.struct(F.lit("reviewer").alias("role")).alias("signature_block"))
+    rows = acted_letter(t).select("project_id", "round", "comment_number", "finding_id", "comment_text", "style", "crop_uri", "response")
+    back = F.from_json("bundle", """submittal_id string, jurisdiction string, pack_version string, review_round int, letterhead struct<city:string>, project_block struct<permit_number:string, description:string>,
+        findings array<struct<comment_number:bigint, comment_text:string, style:string, crop_uri:string>>""")
+    line = lambda c: F.concat_ws(" ", c["comment_number"].cast("string"), c["comment_text"], c["style"], F.coalesce(c["crop_uri"], F.lit("-")))
+    return rv.full_bundle(rows, headers, ["project_id", "round"], 25).withColumn("b", back).select(
+        "project_id", "round", "part", F.col("n_findings").cast("long").alias("n_findings"), "b.submittal_id", "b.jurisdiction", "b.pack_version", "b.letterhead.city", "b.review_round",
+        "b.project_block.permit_number", "b.project_block.description", F.md5(F.array_join(F.transform("b.findings", line), "\n").cast("binary")).alias("comments_md5"))
+
+
 @query("F4 F5 H27", f"""WITH {SQL_FINDINGS}, q AS (SELECT * FROM f)
 SELECT project_id, round, finding_id, CASE severity WHEN 'revise' THEN 'attention' WHEN 'reference_only' THEN 'optional' ELSE 'recommend' END AS label,
   row_number() OVER (PARTITION BY project_id, round ORDER BY list_position(['revise', 'provide', 'clarify', 'reference_only'], severity), confidence, finding_id) AS queue_position FROM q""")

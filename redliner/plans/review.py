@@ -94,6 +94,34 @@ def letter_bundle(letter: DataFrame, keys: list[str], per_part: int = 500) -> Da
     return parts.select(*keys, "part", F.size("findings").alias("n_findings"), body.alias("bundle"))
 
 
+def assembled_letter(findings: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
+    """The comments of each letter: approved and edited findings only, styled, numbered through, with text, crop and response slot.
+
+    ``findings``: the issue columns, discipline, approval_state, final_text,
+    draft_comment_text and crop_uri (null where a finding has no box). The style
+    follows the round in which an issue was first sent.
+    """
+    sent = issue_ages(letter_rows(findings)).withColumn("style", F.col("typography")).drop("typography")
+    return number_letter(sent, keys, within)
+
+
+def full_bundle(letter: DataFrame, headers: DataFrame, keys: list[str], per_part: int = 500) -> DataFrame:
+    """JSON bundle of every letter with its header, also of a letter without comments.
+
+    ``headers``: one row per letter with the keys, submittal_id, jurisdiction,
+    pack_version, generated_at, letterhead, project_block, general_instructions
+    and signature_block (the blocks as structs). A letter of more than
+    ``per_part`` comments continues in further parts under the same header.
+    """
+    item = F.struct(*[F.col(c) for c in letter.columns if c not in keys])
+    parts = paged(letter, keys, [F.col("comment_number")], every(F.col("comment_number"), 10_000), item, per_part, "findings")
+    style = F.struct(F.lit("italic").alias("round_1"), F.lit("bold").alias("round_2"), F.lit("underlined").alias("round_3"))
+    whole = headers.join(parts, keys, "left").withColumns({
+        "part": F.coalesce("part", F.lit(1)), "findings": F.coalesce("findings", F.array().cast(parts.schema["findings"].dataType)), "round_typography": style, "disclaimer": F.lit(DISCLAIMER)})
+    body = F.to_json(F.struct(*[c for c in whole.columns if c != "findings"], "findings"))
+    return whole.select(*keys, "part", F.size("findings").alias("n_findings"), body.alias("bundle"))
+
+
 def write_letter_bundle(bundle: DataFrame, path: str) -> None:
     bundle.select("bundle").write.mode("append").text(path)
 
