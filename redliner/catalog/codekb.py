@@ -118,6 +118,43 @@ def retrieval_chain(t: Tables):
         F.count(F.lit(1)).alias("steps"), F.min("ref").alias("first_ref"), F.max("ref").alias("last_ref"))
 
 
+def references(t: Tables):
+    """Sections point to the one behind them and to seven times their number."""
+    n = F.col("p_partkey")
+    return kb.cross_references(t.part.select(n.alias("canonical_id"), F.col("p_name").alias("title"), F.array(n + 1, n * 7 % 200).alias("cross_references")))
+
+
+SQL_STEPS = f"""{SQL_FOLD}, p AS (SELECT p_partkey, unnest([p_size, p_size + 50, p_size * 3]) AS canonical_id FROM part), xr AS (SELECT DISTINCT p_partkey AS canonical_id, unnest([p_partkey + 1, p_partkey * 7 % 200]) AS target FROM part),
+c AS (SELECT canonical_id, jurisdiction, as_of, 1 AS stage, 0 AS ord, 'state_section' AS kind, section_id::VARCHAR AS ref FROM b2 WHERE section_id IS NOT NULL
+  UNION ALL SELECT canonical_id, jurisdiction, as_of, 2, pos, 'amendment', amendment_id::VARCHAR FROM f WHERE amendment_id IS NOT NULL
+  UNION ALL SELECT canonical_id, jurisdiction, as_of, 3, 0, 'policy', p_partkey::VARCHAR FROM q JOIN p USING (canonical_id) UNION ALL SELECT canonical_id, jurisdiction, as_of, 4, 0, 'cross_ref', target::VARCHAR FROM q JOIN xr USING (canonical_id)),
+st AS (SELECT *, (row_number() OVER (PARTITION BY canonical_id, jurisdiction, as_of ORDER BY stage, ord, ref) - 1) // 20 + 1 AS part, row_number() OVER (PARTITION BY canonical_id, jurisdiction, as_of ORDER BY stage, ord, ref) AS n FROM c)"""
+
+
+@query("L19 D25", f"""WITH {SQL_STEPS} SELECT sha256(concat_ws(chr(31), canonical_id, jurisdiction, strftime(as_of, '%Y-%m-%d'), part)) AS retrieval_id, canonical_id::VARCHAR AS query, jurisdiction,
+  strftime(as_of, '%Y-%m-%d') AS effective_date, part, string_agg(ref, ',' ORDER BY n) AS matched_section_ids, count(*)::DOUBLE AS score_sum,
+  '[' || string_agg('{{"kind":"' || kind || '","ref":"' || ref || '"}}', ',' ORDER BY n) || ']' AS retrieval_chain FROM st GROUP BY canonical_id, jurisdiction, as_of, part""")
+def retrieval_log(t: Tables):
+    log = kb.retrieval_log(kb.retrieval_chain(lookups(t), sections(t), amendments(t), policies(t), references(t)), 20)
+    return log.select("retrieval_id", "query", "jurisdiction", F.date_format("effective_date", "yyyy-MM-dd").alias("effective_date"), "part",
+                      F.array_join("matched_section_ids", ",").alias("matched_section_ids"), F.aggregate("scores", F.lit(0.0), lambda s, x: s + x).alias("score_sum"), "retrieval_chain")
+
+
+@query("L15 L18 C12 C23", f"""WITH {SQL_STEPS}, lists AS (SELECT canonical_id, jurisdiction, as_of, part, coalesce(string_agg(ref, ',' ORDER BY n) FILTER (WHERE kind = 'amendment'), '') AS amendments,
+  coalesce(string_agg(ref, ',' ORDER BY n) FILTER (WHERE kind = 'policy'), '') AS agency_policies, coalesce(string_agg(ref, ',' ORDER BY n) FILTER (WHERE kind = 'cross_ref'), '') AS cross_refs,
+  string_agg(kind, ',' ORDER BY n) AS chain FROM st GROUP BY 1, 2, 3, 4),
+y AS (SELECT *, (row_number() OVER (PARTITION BY canonical_id, jurisdiction, as_of ORDER BY pos) - 1) // 1000 + 1 AS part FROM f WHERE fragment IS NOT NULL),
+x AS (SELECT canonical_id, jurisdiction, as_of, part, md5(string_agg(fragment, chr(10) ORDER BY pos)) AS applicable_md5 FROM y GROUP BY 1, 2, 3, 4),
+txt AS (SELECT b2.canonical_id, b2.jurisdiction, b2.as_of, coalesce(part, 1) AS part, section_id, body_text AS unamended_text, applicable_md5 FROM b2 LEFT JOIN x USING (canonical_id, jurisdiction, as_of))
+SELECT canonical_id, jurisdiction, strftime(as_of, '%Y-%m-%d') AS as_of, part, section_id, unamended_text, applicable_md5, amendments, agency_policies, cross_refs, chain
+FROM txt FULL OUTER JOIN lists USING (canonical_id, jurisdiction, as_of, part)""")
+def lookup_section_full(t: Tables):
+    found = kb.lookup_sections_full(lookups(t), sections(t), amendments(t), policies(t), references(t), 20)
+    return found.select(
+        "canonical_id", "jurisdiction", F.date_format("as_of", "yyyy-MM-dd").alias("as_of"), "part", "section_id", "unamended_text", F.md5("applicable_text").alias("applicable_md5"),
+        *[F.array_join(c, ",").alias(c) for c in ("amendments", "agency_policies", "cross_refs", "chain")])
+
+
 @query("C11", """WITH p AS (SELECT p_partkey AS policy_id, unnest([p_size, p_size + 50, p_size * 3])::BIGINT AS canonical_id FROM part)
 SELECT canonical_id, policy_id FROM p WHERE canonical_id IN (SELECT o_custkey FROM orders)""")
 def policy_membership(t: Tables):

@@ -145,8 +145,11 @@ def lookup_sections(requests: DataFrame, sections: DataFrame, amendments: DataFr
     return base.select(*KEY, "section_id", F.col("body_text").alias("unamended_text")).join(n, KEY, "left").join(text, KEY, "left")
 
 
-def retrieval_chain(requests: DataFrame, sections: DataFrame, amendments: DataFrame, policies: DataFrame) -> DataFrame:
-    """How each lookup got its answer, one row per step: section, amendments in order, policies."""
+def retrieval_chain(requests: DataFrame, sections: DataFrame, amendments: DataFrame, policies: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """How each lookup got its answer, one row per step: section, amendments in order, policies, cross references.
+
+    ``references``: canonical_id and target_id, as ``cross_references`` gives them.
+    """
     keys = requests.select(*KEY).distinct()
     base = durable(section_as_of(keys, sections))
     state = base.select(*KEY, F.lit(1).alias("stage"), F.lit(0).cast("long").alias("ord"), F.lit("state_section").alias("kind"), F.col("section_id").cast("string").alias("ref"))
@@ -154,13 +157,46 @@ def retrieval_chain(requests: DataFrame, sections: DataFrame, amendments: DataFr
         *KEY, F.lit(2).alias("stage"), F.col("pos").alias("ord"), F.lit("amendment").alias("kind"), F.col("amendment_id").cast("string").alias("ref"))
     advisory = base.select(*KEY).join(policies_of_sections(policies), ["canonical_id"]).select(
         *KEY, F.lit(3).alias("stage"), F.lit(0).cast("long").alias("ord"), F.lit("policy").alias("kind"), F.col("policy_id").cast("string").alias("ref"))
-    return state.unionByName(applied).unionByName(advisory)
+    steps = state.unionByName(applied).unionByName(advisory)
+    if references is None:
+        return steps
+    linked = base.select(*KEY).join(references.select("canonical_id", "target_id").distinct(), ["canonical_id"]).select(
+        *KEY, F.lit(4).alias("stage"), F.lit(0).cast("long").alias("ord"), F.lit("cross_ref").alias("kind"), F.col("target_id").cast("string").alias("ref"))
+    return steps.unionByName(linked)
+
+
+def _chain_pages(chain: DataFrame, page_size: int) -> DataFrame:
+    """The steps of each lookup in order, in pages (KEY, part, steps)."""
+    found = chain.filter(F.col("ref").isNotNull()).withColumn("__c", F.col("stage") * 1_000_000 + F.floor(F.col("ord") / 10_000))
+    return paged(found, KEY, [F.col("stage"), F.col("ord"), F.col("ref")], F.col("__c"), F.struct("kind", "ref", "score"), page_size, "steps")
 
 
 def retrieval_log(chain: DataFrame, page_size: int = 500) -> DataFrame:
-    """Log rows per lookup with the matched ids, in pages."""
-    order = [F.col("stage"), F.col("ord"), F.col("ref")]
-    return paged(chain.withColumn("__c", F.col("stage") * 1_000_000 + F.floor(F.col("ord") / 10_000)), KEY, order, F.col("__c"), F.col("ref"), page_size, "matched_ids")
+    """Log rows of the lookups: id, query, jurisdiction, date, matched ids with their scores and the chain as JSON, in pages.
+
+    A chain row may bring a ``score``; what was found by its key scores 1.
+    """
+    scored = chain if "score" in chain.columns else chain.withColumn("score", F.lit(1.0))
+    pages = _chain_pages(scored, page_size)
+    key = F.concat_ws("\u001f", F.col("canonical_id").cast("string"), "jurisdiction", F.col("as_of").cast("string"), F.col("part").cast("string"))
+    return pages.select(
+        F.sha2(key, 256).alias("retrieval_id"), F.col("canonical_id").cast("string").alias("query"), "jurisdiction", F.col("as_of").alias("effective_date"), "part",
+        F.transform("steps", lambda s: s["ref"]).alias("matched_section_ids"), F.transform("steps", lambda s: s["score"]).alias("scores"),
+        F.to_json(F.transform("steps", lambda s: F.struct(s["kind"].alias("kind"), s["ref"].alias("ref")))).alias("retrieval_chain"))
+
+
+def lookup_sections_full(requests: DataFrame, sections: DataFrame, amendments: DataFrame, policies: DataFrame, references: DataFrame, page_size: int = 500) -> DataFrame:
+    """The whole answer of each lookup: both texts, amendments, agency policies, cross references and the chain of kinds.
+
+    An answer longer than a page goes on in the next ``part``; texts and lists
+    have their own parts under one number.
+    """
+    texts = lookup_sections(requests, sections, amendments).withColumn("part", F.coalesce("part", F.lit(1)))
+    pages = _chain_pages(retrieval_chain(requests, sections, amendments, policies, references).withColumn("score", F.lit(1.0)), page_size)
+    of = lambda kind: F.transform(F.filter("steps", lambda s: s["kind"] == kind), lambda s: s["ref"])
+    lists = pages.select(*KEY, "part", of("amendment").alias("amendments"), of("policy").alias("agency_policies"), of("cross_ref").alias("cross_refs"),
+                         F.transform("steps", lambda s: s["kind"]).alias("chain"))
+    return texts.join(lists, [*KEY, "part"], "full_outer")
 
 
 def policies_of_sections(policies: DataFrame) -> DataFrame:
