@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from redliner.catalog import adapters as a
 from redliner.catalog.base import Tables, query
 from redliner.functions import text as x  # noqa: F401
+from redliner.operators import sketches
 from redliner.operators import validate as v
+from redliner.operators.fuzzy import near_values
 from redliner.operators.scan import by_month
 from redliner.plans import ops
+from redliner.session import durable
 
 TS = "%Y-%m-%d %H:%M:%S"
 
@@ -45,6 +48,21 @@ def call_stats(t: Tables):
                     F.round("mean_latency", 4).alias("mean_latency"), F.round("p99_latency", 4).alias("p99_latency"))
 
 
+@query("D14 D26 I3", f"""WITH {SQL_CALLS} SELECT service, strftime(date_trunc('month', ts), '%Y-%m') AS month, count(*) AS n, true AS p50_within, true AS p99_within, true AS distinct_within FROM c GROUP BY 1, 2""")
+def call_sketches(t: Tables):
+    """Months put together from hourly sketches, each held against the raw rows within the stated errors."""
+    log = calls(t)
+    stored = durable(sketches.hourly(log, ["service"], "ts", "latency_ms", "user_id"))
+    months = sketches.over(stored, ["service"], F.date_trunc("MONTH", "hour"), "month")
+    raw = log.withColumn("month", F.date_trunc("MONTH", "ts")).join(months, ["service", "month"])
+    exact = raw.groupBy("service", "month", "n", "p50", "p99", "distinct").agg(
+        F.count_distinct("user_id").alias("users"), *[f(F.col("latency_ms"), F.col(p)).alias(f"{p}_{s}") for p in ("p50", "p99")
+        for s, f in (("below", lambda v, q: F.count_if(v < q)), ("upto", lambda v, q: F.count_if(v <= q)))])
+    rank = lambda p, q: (F.col(f"{p}_below") <= (q + sketches.RANK_ERROR) * F.col("n")) & (F.col(f"{p}_upto") >= (q - sketches.RANK_ERROR) * F.col("n"))
+    return exact.select("service", F.date_format("month", "yyyy-MM").alias("month"), "n", rank("p50", 0.5).alias("p50_within"), rank("p99", 0.99).alias("p99_within"),
+                        (F.abs(F.col("distinct") - F.col("users")) <= F.greatest(sketches.COUNT_ERROR * F.col("users"), F.lit(1))).alias("distinct_within"))
+
+
 @query("D15 M26", f"""WITH {SQL_CALLS}, p AS (SELECT user_id AS project_id, (['ingestion', 'measurement', 'review', 'drafting'])[service % 4 + 1] AS step, sum(cost) * 10 AS cost FROM k GROUP BY 1, 2)
 SELECT project_id, step, round(cost::DOUBLE, 4) AS cost, (MAP {{'ingestion': 4.0, 'measurement': 1.0, 'review': 5.0, 'drafting': 1.0}})[step]::DOUBLE AS budget, coalesce(cost > (MAP {{'ingestion': 4.0, 'measurement': 1.0, 'review': 5.0, 'drafting': 1.0}})[step], false) AS "over" FROM p""")
 def project_costs(t: Tables):
@@ -236,6 +254,22 @@ def match_project(t: Tables):
     return ops.match_project(submitted, p).select("o_orderkey", "project_id", "matched_by", "candidates")
 
 
+@query("C15 H14", """WITH p AS (SELECT c_custkey AS project_id, (c_custkey % 40)::VARCHAR AS number, lower(replace(substr(c_mktsegment, 1, 3 + (c_custkey % 5)::INT) || 'ton', ' ', '')) AS street FROM customer),
+s AS (SELECT o_orderkey, (o_custkey % 40)::VARCHAR AS number, lower(CASE o_orderkey % 4 WHEN 0 THEN street WHEN 1 THEN substr(street, 1, 2) || substr(street, 4) WHEN 2 THEN substr(street, 2, 1) || substr(street, 1, 1) || substr(street, 3) ELSE 'zz' || reverse(street) END) AS street
+  FROM orders JOIN p ON p.project_id = o_custkey),
+pairs AS (SELECT a.number, a.street, b.street AS near, levenshtein(a.street, b.street) AS edits FROM (SELECT DISTINCT number, street FROM s) a JOIN (SELECT DISTINCT number, street FROM p) b ON a.number = b.number AND levenshtein(a.street, b.street) <= 2)
+SELECT number, street, near, edits FROM pairs""")
+def near_streets(t: Tables):
+    """Streets of submittals, whole, with a letter dropped, two transposed or another name, against those of the projects with their number."""
+    n = F.col("c_custkey")
+    p = t.customer.select(n.alias("o_custkey"), (n % 40).cast("string").alias("number"), F.lower(F.replace(F.concat(F.substring("c_mktsegment", F.lit(1), (n % 5 + 3).cast("int")), F.lit("ton")), F.lit(" "), F.lit(""))).alias("street"))
+    k, w = F.col("o_orderkey") % 4, F.col("street")
+    spelled = (F.when(k == 0, w).when(k == 1, F.concat(F.substring(w, 1, 2), F.substring(w, 4, 99)))
+               .when(k == 2, F.concat(F.substring(w, 2, 1), F.substring(w, 1, 1), F.substring(w, 3, 99))).otherwise(F.concat(F.lit("zz"), F.reverse(w))))
+    s = t.orders.select("o_orderkey", "o_custkey").join(p, "o_custkey").select("number", spelled.alias("street"))
+    return near_values(s, p, "number", "street", 2)
+
+
 @query("C23", """WITH r AS (SELECT p_size AS citation, min(p_partkey) AS retrieval_id FROM part WHERE p_size % 3 <> 0 GROUP BY 1), m AS (SELECT o_orderkey AS measurement_id, o_custkey AS sheet_id, o_totalprice AS value FROM orders WHERE o_orderstatus <> 'P')
 SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS finding_id, l_orderkey AS measurement_id, m.sheet_id, m.value, r.retrieval_id FROM lineitem LEFT JOIN m ON m.measurement_id = l_orderkey LEFT JOIN r ON r.citation = l_linenumber""")
 def provenance_chain(t: Tables):

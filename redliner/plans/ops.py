@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redliner.functions.text import content_hash, house_number, street_name
+from redliner.operators.fuzzy import near_values
 from redliner.operators.scan import DEPTH, equi_depth, last_value, ordered_scan, position, running_sum
 from redliner.operators.validate import union_all
+from redliner.session import durable
 
 # Cost envelope per step of a 50-sheet project, in dollars.
 ENVELOPE = {"ingestion": 4.0, "measurement": 1.0, "review": 5.0, "drafting": 1.0}
@@ -209,7 +211,9 @@ def match_project(submitted: DataFrame, projects: DataFrame) -> DataFrame:
         rep = p.filter(F.col(f"k_{tier}").isNotNull()).groupBy(f"k_{tier}").agg(
             F.min("project_id").alias(f"p_{tier}"), F.count(F.lit(1)).alias(f"n_{tier}")
         )
-        s = s.join(rep, f"k_{tier}", "left")
+        # rows without the key of a tier match nothing; each looks under a name of its own, so that they do not meet in one task
+        own = F.coalesce(f"k_{tier}", F.concat(F.lit("\0"), F.xxhash64(*submitted.columns).cast("string")))
+        s = s.withColumn(f"k_{tier}", own).join(rep, f"k_{tier}", "left")
     how = F.lit(None).cast("string")
     count = F.lit(None).cast("long")
     for tier in reversed(tiers):
@@ -220,6 +224,25 @@ def match_project(submitted: DataFrame, projects: DataFrame) -> DataFrame:
     )
 
 
+def match_project_near(submitted: DataFrame, projects: DataFrame, key: str, edits: int = 2) -> DataFrame:
+    """``match_project``, and for what it leaves open the street of the same house number that is at most ``edits`` edits away.
+
+    The nearest street wins, then the smallest project; ``matched_by`` is "near".
+    ``key`` names a row of ``submitted``.
+    """
+    first = durable(match_project(submitted, projects))
+    split = lambda df: df.withColumns({"__number": house_number(F.col("address")), "__street": street_name(F.col("address"))})
+    streets = split(projects).filter("__number is not null and __street is not null").groupBy("__number", "__street").agg(F.min("project_id").alias("__p"), F.count(F.lit(1)).alias("__n"))
+    open_ = split(first.filter("project_id is null"))
+    pairs = near_values(open_, streets, "__number", "__street", edits).join(streets.withColumnRenamed("__street", "near"), ["__number", "near"])
+    best = pairs.groupBy("__number", "__street").agg(F.min(F.struct("edits", "__p", "__n")).alias("__best"))
+    later = open_.filter("__number is not null").join(best, ["__number", "__street"]).select(F.col(key).alias("__key"), "__best")
+    found = first.join(later, F.col(key) == F.col("__key"), "left")
+    return found.withColumns({
+        "matched_by": F.coalesce("matched_by", F.when(F.col("__best").isNotNull(), "near")), "candidates": F.coalesce("candidates", "__best.__n"),
+        "project_id": F.coalesce("project_id", "__best.__p")}).drop("__key", "__best")
+
+
 def provenance_chain(findings: DataFrame, evidence: DataFrame, measurements: DataFrame, retrievals: DataFrame) -> DataFrame:
     """Finding to evidence to measurement to sheet, and finding to citation to retrieval; gaps stay null."""
     e = findings.join(evidence, "finding_id", "left").join(

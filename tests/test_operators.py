@@ -324,3 +324,60 @@ def test_nearest_place_equals_brute_force(spark):
         assert (near is None and e is None and d is None) or (e == near[1] and d == pytest.approx(near[0], rel=1e-12))
     empty = spark.createDataFrame([], "s long, e string, x double, y double")
     assert nearest_place(spark.createDataFrame(points, "s long, p long, x double, y double"), empty, ["s"], "p", "e").filter("e is not null or distance is not null").isEmpty()
+
+
+def test_month_from_hourly_sketches_within_the_stated_errors(spark):
+    from redliner.operators import sketches
+
+    rows = spark.range(60_000).select(
+        (F.col("id") % 3).alias("k"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 30).alias("ts"), (F.pow(F.rand(3), 4) * 100_000).cast("long").alias("v"), (F.col("id") * 7 % 9_000).alias("m"))
+    rows = rows.union(spark.createDataFrame([(9, None, None, None), (9, None, None, None)], "k long, ts timestamp, v long, m long")).cache()
+    stored = sketches.hourly(rows, ["k"], "ts", "v", "m")
+    # a late batch of the same hours stands in rows of its own
+    twice = stored.union(sketches.hourly(rows.filter("v % 10 = 0"), ["k"], "ts", "v", "m"))
+    both = rows.union(rows.filter("v % 10 = 0"))
+    for kept, raw in ((stored, rows), (twice, both)):
+        for r in sketches.over(kept, ["k"], F.lit(1), quantiles=(0.1, 0.5, 0.99)).collect():
+            own = [x["v"] for x in raw.filter(F.col("k") == r["k"]).select("v").collect()]
+            assert r["n"] == len(own)
+            if r["k"] == 9:
+                assert r["p99"] is None and r["distinct"] == 0
+                continue
+            for q in (0.1, 0.5, 0.99):
+                at = r[f"p{round(q * 100)}"]
+                assert sum(v < at for v in own) <= (q + sketches.RANK_ERROR) * len(own) and sum(v <= at for v in own) >= (q - sketches.RANK_ERROR) * len(own)
+            want = raw.filter(F.col("k") == r["k"]).select("m").distinct().count()
+            assert abs(r["distinct"] - want) <= sketches.COUNT_ERROR * want
+    rows.unpersist()
+
+
+def test_near_values_equal_brute_force(spark):
+    from redliner.operators.fuzzy import near_values
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(7)))
+    left, right = [(str(rng.randrange(2)), word()) for _ in range(120)], [(str(rng.randrange(2)), word()) for _ in range(90)]
+    for distance in (1, 2):
+        got = near_values(spark.createDataFrame([*left, (None, "a"), ("1", None)], "b string, v string"), spark.createDataFrame([*right, (None, "a")], "b string, v string"), "b", "v", distance)
+        want = {(b, v, w, edits(v, w)) for b, v in left for c, w in right if b == c and edits(v, w) <= distance}
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_projects_by_streets_with_dropped_and_transposed_letters(spark):
+    from redliner.plans import ops
+
+    schema = "id long, jurisdiction string, permit_number string, apn string, address string"
+    projects = spark.createDataFrame([(1, "SR", "B1", "A1", "2008 Dennis Ln"), (2, "SR", "B2", "A2", "2008 Mission Blvd"), (3, "SR", "B3", "A3", "12 Dennis Ln")], schema).withColumnRenamed("id", "project_id")
+    asked = [(1, "2008 Dnenis Lane"), (2, "2008 Misson Boulevard"), (3, "2008 Wandering Way"), (4, "12 Dennis Lane"), (5, None), (6, "13 Dennis Ln"), (7, "2008 Enis Ln")]
+    submitted = spark.createDataFrame([(k, "SR", None, None, a) for k, a in asked], schema)
+    got = {r["id"]: (r["project_id"], r["matched_by"]) for r in ops.match_project_near(submitted, projects, "id").collect()}
+    assert got[4] == (3, "address") and got[3] == got[5] == got[6] == (None, None)
+    assert got[1][0] == 1 and got[2][0] == 2 and got[7] == (1, "near") and {got[1][1], got[2][1]} <= {"near", "sound"}
