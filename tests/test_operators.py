@@ -375,8 +375,8 @@ def test_projects_by_streets_with_dropped_and_transposed_letters(spark):
     from redliner.plans import ops
 
     schema = "id long, jurisdiction string, permit_number string, apn string, address string"
-    projects = spark.createDataFrame([(1, "SR", "B1", "A1", "2008 Dennis Ln"), (2, "SR", "B2", "A2", "2008 Mission Blvd"), (3, "SR", "B3", "A3", "12 Dennis Ln")], schema).withColumnRenamed("id", "project_id")
-    asked = [(1, "2008 Dnenis Lane"), (2, "2008 Misson Boulevard"), (3, "2008 Wandering Way"), (4, "12 Dennis Lane"), (5, None), (6, "13 Dennis Ln"), (7, "2008 Enis Ln")]
+    projects = spark.createDataFrame([(1, "SR", "B1", "A1", "2008 Dennis Ln"), (2, "SR", "B2", "A2", "2008 Mission Blvd"), (3, "SR", "B3", "A3", "120 Dennis Ln")], schema).withColumnRenamed("id", "project_id")
+    asked = [(1, "2008 Dnenis Lane"), (2, "2008 Misson Boulevard"), (3, "2008 Wandering Way"), (4, "120 Dennis Lane"), (5, None), (6, "130 Dennis Ln"), (7, "2008 Enis Ln")]
     submitted = spark.createDataFrame([(k, "SR", None, None, a) for k, a in asked], schema)
     got = {r["id"]: (r["project_id"], r["matched_by"]) for r in ops.match_project_near(submitted, projects, "id").collect()}
     assert got[4] == (3, "address") and got[3] == got[5] == got[6] == (None, None)
