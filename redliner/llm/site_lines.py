@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from redliner.session import durable
 
 RATIO = 0.08
-MIN_PAGES = 10
+#: a line of a single page repeats nothing there, whatever its share of a small host
+MIN_PAGES = 2
 
 
 def _fingerprint(line: Column) -> Column:

@@ -13,7 +13,8 @@ def test_boilerplate_goes_and_the_rest_stays(spark):
     got = {r["doc_id"]: (r["text"], r["lines_dropped"]) for r in site_lines.drop_boilerplate(
         spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[7] == ("line 7\n\nend 7", 2)
-    assert got[101] == ("menu of the site\nown 1", 0)
+    # the ratio alone decides on a small host too
+    assert got[101] == ("own 1", 1)
 
 
 def test_lines_equal_sql_on_awkward_rows(spark, tmp_path):
