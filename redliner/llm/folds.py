@@ -23,3 +23,12 @@ def label_sample(labels: DataFrame, label: str, limit: int, id: str = "doc_id")
     known = labels.select(F.col(id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).dropna()
     known = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("fold", fold(F.col("id")))
     return known.filter(F.col("fold") != HELD_OUT).orderBy(F.xxhash64("id"), "id").limit(limit)
+
+
+def one_per_id(rows: DataFrame, *payload: str) -> DataFrame:
+    """(id, label, fold, payload): of every id the row of the least payload hash, ties to the least payload.
+
+    A partial aggregation, so that an id with a third of all rows leaves one row per task.
+    """
+    return (rows.groupBy("id", "label", "fold").agg(F.min(F.struct(F.xxhash64(*payload).alias("__tie"), *payload)).alias("__row"))
+            .select("id", "label", "fold", *[F.col("__row")[c].alias(c) for c in payload]))

@@ -9,7 +9,6 @@ is the logistic function of a sum of looked-up values.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redliner.llm.folds import CALIBRATION, HELD_OUT, fold, label_sample
+from redliner.llm.folds import CALIBRATION, HELD_OUT, fold, label_sample, one_per_id
 
 FEATURES = (
     "log_chars", "log_words", "log_lines", "upper", "digit", "white", "exclaim", "pipe", "symbol", "stop", "comma", "other_punctuation", "non_ascii",
@@ -184,7 +183,10 @@ def _featured(batch: pa.RecordBatch, column: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> AdditiveModel:
-    """Train on at most ``sample`` labelled rows outside of the held-out fold; only their features come to the driver."""
+    """Train on at most ``sample`` labelled rows outside of the held-out fold; only their features come to the driver.
+
+    An id with several rows counts once, so the bound holds for rows as for ids.
+    """
     # at most `sample` rows of three numbers, so it may be broadcast
     chosen = F.broadcast(label_sample(labels, label, sample))
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(chosen, "id").select("id", "label", "fold", "text")
@@ -194,12 +196,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id: str = "d
             held = [row.tobytes() for row in _featured(b, 3)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(held, pa.binary())], names=["id", "label", "fold", "features"])
 
-    got = rows.mapInArrow(run, "id long, label int, fold int, features binary").toArrow()
+    got = one_per_id(rows.mapInArrow(run, "id long, label int, fold int, features binary"), "features").toArrow()
     raw = got["features"].to_pylist()
     x = np.frombuffer(b"".join(raw), float).reshape(-1, len(FEATURES))
     ids, y, folds = (np.array(got[c].to_pylist(), np.int64) for c in ("id", "label", "fold"))
     # a fixed order, so that sums do not depend on how rows arrive
-    order = np.lexsort((np.array([zlib.crc32(r) for r in raw], np.int64), ids))
+    order = np.argsort(ids)
     x, y, later = x[order], y[order], folds[order] == CALIBRATION
     return train(x[~later], y[~later], x[later], y[later])
 

@@ -1,6 +1,8 @@
 """Classifiers on held-out rows, and the pipeline against a brute-force version."""
 
+import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from redliner.llm import gam, packing, pseudonyms, site_lines, textcnn
-from redliner.llm.folds import fold
+from redliner.llm.folds import fold, one_per_id
 from redliner.llm.word_tokens import WordTokenizer, vocabulary_path
 from tests.llm.frames import awkward, empty, prose, with_clashes
 from tests.llm.test_groups import brute
@@ -75,6 +77,46 @@ def test_models_without_labels_reject_nothing(spark):
         assert gam.score(docs, gam.fit(docs, some)).filter("predicted = 0").isEmpty()
 
 
+def test_an_id_with_many_rows_counts_once(spark):
+    docs, labels = frames(spark)
+    chosen = labels.filter("doc_id is not null and toxic is not null").filter(fold(F.col("doc_id")) > 1).orderBy("doc_id").first()["doc_id"]
+    many = spark.range(10_000).select(F.lit(chosen).alias("doc_id"), F.concat(F.lit("grubling row "), F.col("id").cast("string")).alias("text"),
+                                      F.lit("en").alias("lang"), F.lit("s1").alias("source"), F.lit(1).alias("n_chars"))
+    rows = [tuple(r) for r in docs.unionByName(many).groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64("text", "lang"), "text", "lang")).alias("r")).select("doc_id", "r.text", "r.lang").collect()]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, expected = textcnn.fit(docs.unionByName(many), labels), textcnn.fit(once, labels)
+    assert np.array_equal(got.keys, expected.keys) and np.allclose(got.embedding, expected.embedding) and got.thresholds == expected.thresholds
+    sampled = one_per_id(docs.unionByName(many).select(F.col("doc_id").alias("id"), F.lit(1).alias("label"), F.lit(2).alias("fold"), "text"), "text")
+    assert sampled.filter(F.col("id") == chosen).count() == 1
+
+
+def plain_score(model, text):
+    """Convolution and pooling of one text, word by word."""
+    row = dict(zip(model.keys.tolist(), model.embedding.astype(float), strict=True))
+    vectors = []
+    for w in re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").lower().encode()):
+        found = [zlib.crc32(w, 1)] + [zlib.crc32(w[:k]) for k in textcnn.BEGINNINGS if len(w) > k]
+        vectors.append(sum((row.get(h, row[0]) for h in found), np.zeros(textcnn.DIM)))
+    vectors = (vectors or [np.zeros(textcnn.DIM)]) + [np.zeros(textcnn.DIM)] * (max(textcnn.WIDTHS) - 1)
+    total, at = model.bias, 0
+    for width, filters, biases in zip(textcnn.WIDTHS, model.filters, model.biases, strict=True):
+        for f in range(textcnn.FILTERS):
+            best = max(sum(float(vectors[n + j] @ filters[j][:, f]) for j in range(width)) for n in range(len(vectors) - max(textcnn.WIDTHS) + 1))
+            total += max(best + biases[f], 0) * model.out[at]
+            at += 1
+    return 1 / (1 + math.exp(-total))
+
+
+def test_scores_equal_plain_convolution(spark):
+    docs, labels = frames(spark)
+    model = textcnn.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.filter("doc_id >= 1000 and doc_id < 1060").collect()}
+    got = {r["doc_id"]: r["score"] for r in textcnn.score(docs.filter("doc_id in (2, 3) or doc_id >= 1000 and doc_id < 1060"), model).collect()}
+    assert got.keys() == texts.keys() | {2, 3}
+    assert all(abs(s - plain_score(model, texts.get(i))) < 1e-4 for i, s in got.items())
+
+
 def test_quality_learns_and_takes_awkward_rows(spark):
     docs, labels = frames(spark)
     model = gam.fit(with_clashes(docs), labels)
