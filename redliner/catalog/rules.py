@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from redliner.catalog import adapters as a
+from redliner.catalog import codekb as code
 from redliner.catalog.base import Tables, query
 from redliner.functions import review as r
 from redliner.plans import findings as fd
-from redliner.plans import rules
+from redliner.plans import provenance, rules
 
 LI = "lineitem"
 
@@ -218,3 +219,52 @@ def size_conflicts(t: Tables):
     schedule = t.part.select((F.col("p_partkey") % 100).alias("project_id"), F.col("p_size").cast("long").alias("tag"), F.concat(F.lit("2x"), (10 + 2 * (F.col("p_partkey") % 2)).cast("string")).alias("size"))
     found = rules.BOOK.run({"shear_callouts": callouts, "shear_schedule": schedule}).filter("advisory_licensed_note")
     return found.groupBy("rule_id", "project_id", "evidence_id", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_REVIEWED = """sub AS (SELECT o_custkey AS project_id, max((o_orderkey % 5 + 1, o_orderkey)) AS k FROM orders GROUP BY 1),
+cur AS (SELECT project_id, k[1] AS review_round, o_orderkey AS submittal_id, o_custkey % 200 AS canonical_id, o_orderpriority AS jurisdiction, o_orderdate::DATE AS as_of FROM sub JOIN orders ON o_orderkey = k[2]),
+best AS (SELECT l_orderkey, l_linenumber, min((-(1 - l_discount::DECIMAL(4,2))::DOUBLE, 'm-' || rid)) AS m, arg_min((l_quantity / 5, l_returnflag, l_tax), (-(1 - l_discount::DECIMAL(4,2))::DOUBLE, 'm-' || rid)) AS v FROM li GROUP BY 1, 2),
+hit AS (SELECT rid, li.l_orderkey, li.l_linenumber, o_custkey AS project_id, -m[1] AS conf, m[2] AS measurement_id, v[1] AS nco, v[2] AS trace, CASE WHEN v[3] > 0.04 THEN 'specs:2' ELSE 'specs:1' END AS spec_version,
+  CASE l_linestatus WHEN 'F' THEN 'windows:1' ELSE 'windows:2' END AS version, l_linenumber AS y FROM li JOIN orders ON o_orderkey = li.l_orderkey JOIN best USING (l_orderkey, l_linenumber)
+  WHERE o_orderstatus <> 'P' AND o_orderkey % 3 <> 0 AND v[1] < 5.7)"""
+SQL_CITED = code.SQL_FOLD.replace(code.SQL_LOOKUPS, "q AS (SELECT DISTINCT canonical_id, jurisdiction, as_of FROM cur WHERE project_id IN (SELECT project_id FROM hit))")
+
+
+@query("M12 M2 ARCH-EGRESS-010 J2 L15", f"""WITH li{SQL_BASE.removeprefix('b')}, {SQL_REVIEWED}, {SQL_CITED},
+y AS (SELECT f.*, (row_number() OVER (PARTITION BY canonical_id, jurisdiction, as_of ORDER BY pos) - 1) // 1000 + 1 AS part FROM f WHERE fragment IS NOT NULL),
+x AS (SELECT canonical_id, jurisdiction, as_of, part, string_agg(fragment, chr(10) ORDER BY pos) AS txt, coalesce(string_agg(amendment_id::VARCHAR, ',' ORDER BY pos), '') AS applied FROM y GROUP BY 1, 2, 3, 4),
+c AS (SELECT b2.canonical_id, b2.jurisdiction, b2.as_of, part, txt, applied, b2.section_id, effective_date FROM b2 JOIN x USING (canonical_id, jurisdiction, as_of) JOIN s ON s.section_id = b2.section_id)
+SELECT sha256(concat_ws(chr(31), 'ARCH-EGRESS-010', hit.project_id::VARCHAR, l_orderkey::VARCHAR, rid)) AS finding_id, hit.project_id, submittal_id, review_round::INT AS review_round, l_orderkey::VARCHAR AS sheet_id,
+  rid AS entity_id, concat_ws(',', y, y + 1, y + 2, y + 3) AS bbox, measurement_id, nco::DOUBLE AS measured_value, conf AS measured_confidence, trace, coalesce(part, 1)::INT AS part,
+  c.jurisdiction, strftime(effective_date, '%Y-%m-%d') AS effective_date, md5(txt) AS frozen_md5, applied AS amendments_applied,
+  CASE WHEN section_id IS NOT NULL THEN 'state_section ' || section_id || CASE WHEN applied = '' THEN '' ELSE ',amendment ' || replace(applied, ',', ',amendment ') END END AS retrieval_chain,
+  'Window W-' || l_linenumber || ' in Bedroom ' || l_orderkey || ' has NCO of ' || printf('%.1f', nco) || ' sqft; CRC §R310.2.1 requires ≥ 5.7 sqft.' AS draft_comment_text,
+  CASE WHEN section_id IS NULL THEN conf ELSE least(conf, 0.97) END::DOUBLE AS confidence, conf < 0.8 OR section_id IS NULL AS needs_attention, strftime(cur.as_of, '%Y-%m-%d') AS created_at, spec_version || ',' || version AS extractor_versions_used
+FROM hit JOIN cur ON cur.project_id = hit.project_id LEFT JOIN c ON c.canonical_id = cur.canonical_id AND c.jurisdiction = cur.jurisdiction AND c.as_of = cur.as_of""")
+def findings_full(t: Tables):
+    k, line = F.col("o_orderkey"), F.col("l_linenumber").cast("double")
+    items = base(t)
+    context = {
+        "rooms": t.orders.select(
+            k.alias("room_id"), F.col("o_custkey").alias("project_id"), F.concat(F.lit("Bedroom "), k.cast("string")).alias("room_label"),
+            F.when(F.col("o_orderstatus") != "P", "bedroom").otherwise("kitchen").alias("room_use"), (k % 3 != 0).alias("is_new")),
+        "windows": items.select(
+            F.col("rid").alias("window_id"), F.col("l_orderkey").alias("room_id"), "sheet_id", F.concat(F.lit("W-"), F.col("l_linenumber").cast("string")).alias("tag"),
+            F.array(line, line + 1, line + 2, line + 3).alias("bbox"), F.when(F.col("l_linestatus") == "F", "windows:1").otherwise("windows:2").alias("extractor_version")),
+        "specs": items.select(
+            F.concat(F.lit("m-"), "rid").alias("measurement_id"), "sheet_id", F.concat(F.lit("W-"), F.col("l_linenumber").cast("string")).alias("tag"),
+            (F.col("l_quantity") / 5).alias("nco_sqft"), "confidence", F.array("l_returnflag").alias("trace"), F.when(F.col("l_tax") > 0.04, "specs:2").otherwise("specs:1").alias("extractor_version")),
+        "submittals": t.orders.select(
+            F.col("o_custkey").alias("project_id"), k.alias("submittal_id"), (k % 5 + 1).cast("int").alias("review_round"), (F.col("o_custkey") % 200).alias("canonical_id"),
+            F.col("o_orderpriority").alias("jurisdiction"), F.col("o_orderdate").cast("date").alias("as_of"), F.col("o_orderdate").cast("date").alias("created_at")),
+        "sections": code.sections(t).withColumn("confidence", F.lit(0.97)), "amendments": code.amendments(t),
+    }
+    cite = F.get("citations", F.lit(0))
+    return provenance.egress_findings(context).select(
+        "finding_id", "project_id", "submittal_id", "review_round", "sheet_reference.sheet_id", F.col("evidence")[0]["entity_id"].alias("entity_id"),
+        F.array_join(F.transform(F.col("evidence")[0]["bbox"], lambda x: x.cast("int").cast("string")), ",").alias("bbox"), F.col("evidence")[1]["measurement_id"].alias("measurement_id"),
+        F.col("evidence")[1]["value"].alias("measured_value"), F.col("evidence")[1]["confidence"].alias("measured_confidence"), F.array_join(F.col("evidence")[1]["trace"], ",").alias("trace"), "part",
+        cite["jurisdiction"].alias("jurisdiction"), F.date_format(cite["effective_date"], "yyyy-MM-dd").alias("effective_date"), F.md5(cite["frozen_text"]).alias("frozen_md5"),
+        F.array_join(cite["amendments_applied"], ",").alias("amendments_applied"),
+        F.array_join(F.transform(cite["retrieval_chain"], lambda s: F.concat_ws(" ", s["kind"], s["ref"])), ",").alias("retrieval_chain"), "draft_comment_text", "confidence", "needs_attention",
+        F.date_format("created_at", "yyyy-MM-dd").alias("created_at"), F.array_join("extractor_versions_used", ",").alias("extractor_versions_used"))
