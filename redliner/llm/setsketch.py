@@ -55,7 +55,7 @@ def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     if len(h) < width:
-        return _mix(np.array([xxhash.xxh64_intdigest(b"\x00".join(words))], np.uint64))
+        return _mix(np.array([xxhash.xxh64_intdigest(b" ".join(words))], np.uint64))
     n = len(h) - width + 1
     total = np.zeros(n, np.uint64)
     for i in range(width):
@@ -256,7 +256,7 @@ def _block_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         owner = owner[keep]
         by = np.argsort(item, kind="stable")
         item, owner = item[by], owner[by]
-        common = np.zeros((len(left), len(right)), np.float32)
+        common = np.zeros((len(left), len(right)), np.int64)
         place = [np.full(len(ids), -1), np.full(len(ids), -1)]
         place[0][left], place[1][right] = np.arange(len(left)), np.arange(len(right))
         for low in range(0, int(item[-1]) + 1 if len(item) else 0, 4096):
@@ -267,7 +267,8 @@ def _block_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 mine = p[owner[at]]
                 has[mine[mine >= 0], (item[at] - low)[mine >= 0]] = 1
                 sides.append(has)
-            common += sides[0] @ sides[1].T
+            # at most 4,096 a step, which float32 holds exactly; the sum needs more
+            common += (sides[0] @ sides[1].T).astype(np.int64)
         union = sizes[left][:, None] + sizes[right][None] - common
         near = (common * 100 >= union * percent) & (left[:, None] != right[None])
         group = np.arange(len(ids))

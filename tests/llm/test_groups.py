@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from redliner.llm import components, metric_join, setsketch, threshold_topk
-from tests.llm.frames import awkward, empty, prose, with_clashes
+from tests.llm.frames import DOCS, awkward, empty, prose, with_clashes
 
 
 def united(nodes, links):
@@ -169,3 +169,9 @@ def test_the_threshold_ends_the_search_early():
     rows, scores = block.search(np.array([900.0, 900, 900, 900]), 3, 5)
     assert sorted(block.ids[rows].tolist()) == [0, 1, 2, 4, 5] and set(scores) == {3_600_000.0}
     assert block.search(np.zeros(4), 3, 5) is None
+
+
+def test_a_nul_byte_is_part_of_a_word(spark):
+    docs = spark.createDataFrame([(1, "a\x00b", "en", "s", 1), (2, "a b", "en", "s", 1), (3, "A\tb", "en", "s", 1)], DOCS)
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in setsketch.near_duplicates(docs).collect()}
+    assert got == {1: (1, 1), 2: (2, 1), 3: (2, 1)}
