@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 DEMO_KEY = "demo key; pass your own"
 
-EMAIL = r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![\w.+\p{L}\p{M}-])[\p{L}0-9][\p{L}\p{M}0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 #: countries by the length of their IBAN
 IBAN_COUNTRIES = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -30,20 +30,32 @@ IBAN_COUNTRIES = {
 # first the length of the country, so that capitals or digits behind a number stay text; then any other length
 IBAN = r"(?<!\w)(?:(?:%s)|[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30})(?!\w)" % "|".join(
     r"(?:%s)\d{2}(?: ?[A-Z0-9]){%d}(?!\w)" % (names.replace(" ", "|"), n - 4) for n, names in IBAN_COUNTRIES.items())
+# small letters only without spaces, so that words behind a number are never part of it
+SMALL_IBAN = r"(?<!\w)(?:%s)(?!\w)" % "|".join(
+    r"(?:%s)\d{2}[a-z0-9]{%d}(?!\w)" % (names.lower().replace(" ", "|"), n - 4) for n, names in IBAN_COUNTRIES.items())
 IPV4 = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"
-ISO_DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])"
+ISO_DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?:(?=T\d)|(?![\w-]))"
 DAY_DATE = r"(?<![\w./])\d{1,2}[./]\d{1,2}[./]\d{4}(?![\w/])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)"
+# groups of digits of any number with 13 digits or more at their start; possessive, so that long runs need no stack
+RUN = r"(?<!\w)(?=\d(?:[ -]?\d){12})\d++(?!\w)(?:[ -]\d++(?!\w))*+"
 PHONE = r"(?<!\w)(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\(?\d{3}\)?[ .-])\d{3}[ .-]\d{4}(?!\w)"
 INTL_PHONE = r"\+\d(?:[ .-]?\(?\d\)?){7,14}(?!\w)"
 ACCESS_KEY = r"(?<!\w)AKIA[A-Z0-9]{16}(?!\w)"
-SECRET = r"(?<!\w)(?i:password|passwd|secret|token|api[_-]?key)(?-i: ?[=:] ?\"?)[A-Za-z0-9_/+-]{8,}"
+SECRET = r"(?<!\w)(?i:password|passwd|secret|token|api[_-]?key)(?-i: ?[=:] ?\"?)(?:[A-Za-z0-9_/+-]{8,}|(?=[A-Za-z_/+-]{0,6}\d)[A-Za-z0-9_/+-]{6,7})"
 KINDS = {
-    "email": EMAIL, "secret": SECRET, "access_key": ACCESS_KEY, "iban": IBAN, "ipv4": IPV4, "iso_date": ISO_DATE,
+    "email": EMAIL, "secret": SECRET, "access_key": ACCESS_KEY, "iban": IBAN, "small_iban": SMALL_IBAN, "ipv4": IPV4, "iso_date": ISO_DATE,
     "day_date": DAY_DATE, "ssn": SSN, "phone": PHONE, "intl_phone": INTL_PHONE, "card": CARD,
 }
-ANY = "|".join(KINDS.values())
+#: cards are looked for in whole runs of digit groups first
+ANY = "|".join(RUN if kind == "card" else pattern for kind, pattern in KINDS.items())
+#: inside a run, found cards stand in angle brackets, which no run holds
+IN_RUN = "|".join(["<[0-9 -]+>", *(pattern for kind, pattern in KINDS.items() if kind != "card")])
+#: groups as cards are printed; before any other group ends, so that a number next to a card does not join it
+PRINTED = [("4,4,4,4", 4), ("4,6,5", 3), ("4,6,4", 3), ("4,4,4,4,3", 5)]
+#: lengths of cards, usual ones first
+CARD_LENGTHS = [16, 15, 14, 13, 19, 18, 17]
 # 73,100 days from 1900-01-01 = 340 x 215
 DATE_DOMAIN = (340, 215)
 # areas 001-665 and 667-899; group 01-99 and serial 0001-9999
@@ -157,12 +169,72 @@ def card(value: Column, key: str) -> Column:
     return _let(_digits(value), checked)
 
 
-def _checked_end(match: Column) -> Column:
-    """Characters of a match of ``CARD`` up to the last end of a digit group where the Luhn sum holds; its first group, if there is none."""
-    known = lambda p: _digits(F.substring(match, F.lit(1), p))
-    group_end = lambda p: _is_digit(F.substring(match, p, F.lit(1))) & ~_is_digit(F.substring(match, p + 1, F.lit(1)))
-    valid = lambda p: group_end(p) & (F.length(known(p)) >= 13) & (_luhn_sum(known(p)) % 10 == 0)
-    return F.coalesce(F.get(F.filter(F.sequence(F.length(match), F.lit(13), F.lit(-1)), valid), F.lit(0)), F.length(F.regexp_extract(match, "^[0-9]+", 0)))
+def _luhn(digits: Column) -> Column:
+    return _luhn_sum(digits) % 10 == 0
+
+
+def _printed_card(groups: Column, i: Column) -> Column:
+    """Number of groups of the valid card that starts with group i as cards are printed; 0 without one."""
+    form = F.concat(F.array_join(F.transform(F.slice(groups, i + 1, 5), lambda g: F.length(g).cast("string")), ","), F.lit(","))
+    taken = lambda n: F.array_join(F.slice(groups, i + 1, n), "")
+    found = F.when(F.length(groups[i]).between(13, 19) & _luhn(groups[i]), 1)
+    for want, n in PRINTED:
+        found = found.when(form.startswith(want + ",") & _luhn(taken(n)), n)
+    return found.otherwise(0)
+
+
+def _grouped_card(groups: Column, printed: Column, i: Column) -> Column:
+    """Number of groups of the valid card that starts with group i and ends with any; 0 without one.
+
+    It holds no group with which a printed card starts. Usual lengths go first.
+    """
+    def ends(n: Column) -> Column:
+        digits = F.array_join(F.slice(groups, i + 1, n), "")
+        place = F.array_position(F.array(*map(F.lit, CARD_LENGTHS)), F.length(digits))
+        free = ~F.exists(F.slice(printed, i + 1, n), lambda x: x > 0)
+        return F.when((place > 0) & free, F.when(_luhn(digits), F.struct(place.alias("place"), n.alias("n"))))
+
+    most = F.least(F.lit(19), F.size(groups) - i)
+    return F.coalesce(F.array_min(F.filter(F.transform(F.sequence(F.lit(1), most), ends), lambda x: x.isNotNull()))["n"], F.lit(0))
+
+
+def _taken(found: Column) -> Column:
+    """Per group: 1 first, 2 last, 3 only group of a card, 0 else; from left to right, of all groups of a run.
+
+    The walk goes in stretches of 256 groups, so a step never copies more than a stretch.
+    """
+    state = lambda skip, out: F.struct(skip.cast("int").alias("skip"), out.alias("out"))
+
+    def step(s: Column, n: Column) -> Column:
+        mark = F.when(s["skip"] > 1, 0).when(s["skip"] == 1, 2).when(n == 1, 3).when(n > 1, 1).otherwise(0)
+        return state(F.when(s["skip"] > 0, s["skip"] - 1).otherwise(F.greatest(n - 1, F.lit(0))), F.concat(s["out"], F.array(mark)))
+
+    def stretch(s: Column, at: Column) -> Column:
+        walked = F.aggregate(F.slice(found, at, 256), state(s["skip"], F.expr("cast(array() as array<int>)")), step)
+        return _let(walked, lambda w: state(w["skip"], F.concat(s["out"], F.array(w["out"]))))
+
+    none = state(F.lit(0), F.expr("cast(array() as array<array<int>>)"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(found), F.lit(256)), none, stretch, lambda s: F.flatten(s["out"]))
+
+
+def _marked_run(run: Column) -> Column:
+    """A match of ``RUN`` with every card in it in angle brackets."""
+
+    def marked(groups: Column, pieces: Column) -> Column:
+        def found(printed: Column) -> Column:
+            each = lambda n, i: F.when(n > 0, n).otherwise(_grouped_card(groups, printed, i))
+            return F.transform(printed, each)
+
+        def put(piece: Column, mark: Column) -> Column:
+            digits = _digits(piece)
+            return F.concat(F.when(mark.isin(1, 3), "<").otherwise(""), digits, F.when(mark.isin(2, 3), ">").otherwise(""),
+                            F.substring(piece, F.length(digits) + 1, F.lit(1)))
+
+        counts = _let(F.transform(groups, lambda g, i: _printed_card(groups, i)), found)
+        return F.array_join(F.zip_with(pieces, _let(counts, _taken), put), "")
+
+    pieces = F.regexp_extract_all(run, F.lit("[0-9]+[ -]?"), F.lit(0))
+    return _let(pieces, lambda p: _let(F.transform(p, _digits), lambda g: marked(g, p)))
 
 
 def _mod97(text: Column) -> Column:
@@ -173,16 +245,17 @@ def _mod97(text: Column) -> Column:
 
 
 def iban(value: Column, key: str) -> Column:
-    """Numbers that pass mod 97; country and spaces stay, the check digits are made anew."""
+    """Numbers that pass mod 97; country, spaces and the size of letters stay, the check digits are made anew."""
 
     def checked(plain: Column) -> Column:
         country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
         check = lambda b: F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
         whole = _let(permute_text(account, key, "iban"), lambda b: F.concat(country, check(b), b))
         valid = _mod97(F.concat(account, country, F.substring(plain, 3, 2))) == 1
-        return F.when(valid, _into(value, whole, lambda ch: ch != " ")).otherwise(value)
+        sized = _into(value, whole, lambda ch: ch != " ")
+        return F.when(valid, F.when(value == F.lower(value), F.lower(sized)).otherwise(sized)).otherwise(value)
 
-    return _let(F.regexp_replace(value, " ", ""), checked)
+    return _let(F.upper(F.regexp_replace(value, " ", "")), checked)
 
 
 def ipv4(value: Column, key: str) -> Column:
@@ -254,7 +327,7 @@ def phone(value: Column, key: str) -> Column:
 
 
 def email(value: Column, key: str) -> Column:
-    """The part before the @ is permuted; the domain stays."""
+    """Digits and ASCII letters before the @ are permuted; other letters and the domain stay."""
     return F.concat(permute_text(F.substring_index(value, "@", 1), key, "email"), F.lit("@"), F.substring_index(value, "@", -1))
 
 
@@ -273,29 +346,34 @@ def pseudonym(match: Column, key: str) -> Column:
     whole = lambda name: match.rlike(f"^(?:{KINDS[name]})$")
     return (
         F.when(F.instr(match, "@") > 0, email(match, key)).when(whole("secret"), secret(match, key))
-        .when(whole("access_key"), access_key(match, key)).when(whole("iban"), iban(match, key))
+        .when(whole("access_key"), access_key(match, key)).when(whole("iban") | whole("small_iban"), iban(match, key))
         .when(whole("ipv4"), ipv4(match, key)).when(whole("iso_date"), iso_date(match, key))
         .when(whole("day_date"), day_date(match, key)).when(whole("ssn"), ssn(match, key))
         .when(whole("phone") | whole("intl_phone"), phone(match, key)).when(whole("card"), card(match, key)).otherwise(match)
     )
 
 
+def _cut(text: Column, pattern: str, part) -> Column:
+    """struct(lead, parts): the text before the first match of ``pattern`` and, per match, part(match, text up to the next)."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(F.split(text, pattern, -1), lambda between: F.struct(
+        between[0].alias("lead"), F.zip_with(found, F.slice(between, F.lit(2), F.size(between)), part).alias("parts")))
+
+
 def _matches(text: Column) -> Column:
-    """struct(lead, parts): the text before the first match of ``ANY`` and, per match, struct(value, rest, behind).
+    """struct(lead, parts): the text before the first value and, per value, struct(value, behind).
 
-    Of a card number with digits behind it only the part that passes its check
-    is the value, of a run without such a part the first group of digits; the
-    others are its rest. behind is the text up to the next match.
+    A run of digit groups gives all its cards and the values of other kinds
+    between them. A run stands behind an empty value, which stays as it is.
     """
+    part = lambda value, behind: F.struct(value.alias("value"), behind.alias("behind"))
+    inner = lambda match, behind: part(F.translate(match, "<>", ""), behind)
 
-    def cut(match: Column, behind: Column) -> Column:
-        end = F.when(match.rlike(f"^(?:{CARD})$"), _checked_end(match)).otherwise(F.length(match))
-        return _let(end, lambda e: F.struct(
-            F.substring(match, F.lit(1), e).alias("value"), F.substring(match, e + 1, F.length(match)).alias("rest"), behind.alias("behind")))
+    def parts(match: Column, behind: Column) -> Column:
+        run = lambda cut: F.concat(F.array(part(F.lit(""), cut["lead"])), cut["parts"], F.array(part(F.lit(""), behind)))
+        return F.when(match.rlike(f"^(?:{RUN})$"), _let(_cut(_marked_run(match), IN_RUN, inner), run)).otherwise(F.array(part(match, behind)))
 
-    found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    return _let(F.split(text, ANY, -1), lambda between: F.struct(
-        between[0].alias("lead"), F.zip_with(found, F.slice(between, F.lit(2), F.size(between)), cut).alias("parts")))
+    return _let(_cut(text, ANY, parts), lambda cut: F.struct(cut["lead"].alias("lead"), F.flatten(cut["parts"]).alias("parts")))
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEMO_KEY, changed: str = "values_changed") -> DataFrame:
@@ -308,19 +386,14 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEMO_KEY, chang
     an empty one. Other columns pass through, whatever their names; one that is
     called like ``changed`` is replaced.
     """
-    plain = lambda m: F.struct(m["value"].alias("value"), F.concat(m["rest"], m["behind"]).alias("behind"))
-    first = lambda m, more: F.array(F.struct(m["value"].alias("value"), more["lead"].alias("behind")))
-    # what is left of a match is searched once more, together with the text behind it
-    again = lambda m: F.when(m["rest"] != "", _matches(F.concat(m["rest"], m["behind"])))
-    parts = lambda m, more: F.when(more.isNull(), F.array(plain(m))).otherwise(F.concat(first(m, more), F.transform(more["parts"], plain)))
+    # numbered columns, so that names of any kind pass through
+    at = docs.columns.index(text)
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    body = F.col(f"c{at}")
     new = lambda m: F.struct(pseudonym(m["value"], key).alias("new"), m["value"].alias("value"), m["behind"].alias("behind"))
-    marked = docs.withColumn("__found", F.when(F.col(text).rlike("[0-9@=:]"), _matches(F.col(text))))
-    marked = marked.withColumn("__again", F.transform("__found.parts", again))
-    marked = marked.withColumn("__parts", F.flatten(F.zip_with("__found.parts", "__again", parts)))
-    marked = marked.withColumn("__new", F.transform("__parts", new))
-    made = F.concat(F.col("__found.lead"), F.array_join(F.transform("__new", lambda m: F.concat(m["new"], m["behind"])), ""))
-    count = F.size(F.filter("__new", lambda m: m["new"] != m["value"])).cast("long")
-    return marked.select(
-        *[F.when(F.size("__new") > 0, made).otherwise(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != changed],
-        F.when(F.size("__new") > 0, count).otherwise(F.lit(0).cast("long")).alias(changed),
-    )
+    found = numbered.withColumn("found", F.when(body.rlike("[0-9@=:]"), _matches(body))).withColumn("new", F.transform("found.parts", new))
+    made = F.concat(F.col("found.lead"), F.array_join(F.transform("new", lambda m: F.concat(m["new"], m["behind"])), ""))
+    count = F.size(F.filter("new", lambda m: m["new"] != m["value"])).cast("long")
+    text_now = F.when(F.size("new") > 0, made).otherwise(body)
+    columns = [(text_now if k == at else F.col(f"c{k}")).alias(c) for k, c in enumerate(docs.columns) if c != changed]
+    return found.select(*columns, F.when(F.size("new") > 0, count).otherwise(F.lit(0).cast("long")).alias(changed))

@@ -98,6 +98,31 @@ def test_values_with_digits_or_capitals_behind_them(spark):
                        (f"x {card} {phone} end", 2), (f"x 2026 {card}", 1)]
 
 
+def test_cards_of_a_run_are_found_at_every_group(spark):
+    card, amex = "4111 1111 1111 1111", "378282246310005"
+    many = " ".join(str(i % 7) for i in range(5000))
+    texts = [card, f"qty 2 1 {card}", f"lot 12 34 {card}", f"{card} 12/27 {card}", f"1 2 3 {card} 2026 {card.replace(' ', '-')} 606-555-7814", amex,
+             f"{many} {card} {many}", f"5 6 {amex} 7"]
+    got = [t for t, _ in made(spark, texts)]
+    new, new_amex = got[0], got[5]
+    assert new != card and luhn(new.replace(" ", "")) and luhn(new_amex) and new_amex != amex
+    assert got[1:4] == [f"qty 2 1 {new}", f"lot 12 34 {new}", f"{new} 12/27 {new}"]
+    assert got[4].startswith(f"1 2 3 {new} 2026 {new.replace(' ', '-')} ") and not got[4].endswith("606-555-7814")
+    assert f" {new} " in got[6] and card not in got[6] and got[7] == f"5 6 {new_amex} 7"
+
+
+def test_more_forms_of_values(spark):
+    iban = "DE89370400440532013000"
+    texts = ["2021-03-05", "2021-03-05T10:00:00", iban, iban.lower(), "password: abc12x", "müller@example.de", "x müller@example.de",
+             "password: nothing", "se12 call 606 555 7814"]
+    got = [t for t, _ in made(spark, texts)]
+    assert got[1] == got[0] + "T10:00:00" and got[0] != texts[0]
+    assert got[3] == got[2].lower() and got[2] != iban
+    assert got[4].startswith("password: ") and got[4] != texts[4]
+    assert got[5] != texts[5] and got[5].endswith("@example.de") and got[5][1] == "ü" and got[6] == "x " + got[5]
+    assert got[8].startswith("se12 call ") and got[8] != texts[8]
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     text = "606-555-7814, +1 (606) 555-7814 and 606.555.7814"
     digits = [re.sub(r"\D", "", x)[-10:] for x in re.split(r", | and ", one(spark, text))]
@@ -116,6 +141,12 @@ def test_networks_are_permutations(spark):
     assert days.select(pseudonyms._moved_date(F.col("d"), "k", "t").alias("m")).agg(F.countDistinct("m"), F.min("m").cast("string")).first()[:] == (73_100, "1900-01-01")
 
 
+def test_columns_with_inner_names_pass(spark):
+    rows = spark.createDataFrame([(1, "606-555-7814", "mine", 5, None)], "doc_id long, text string, `__found` string, found int, new string")
+    got = pseudonyms.pseudonymise(rows)
+    assert got.columns == [*rows.columns, "values_changed"] and got.select("__found", "found", "new").first()[:] == ("mine", 5, None)
+
+
 def test_pii_awkward_rows(spark):
     docs = awkward(spark, [(8, "a 89.189.210.185\n" * 300, "en", "s", 1), (9, "4923437827071911", "en", "s", 1)])
     out = pseudonyms.pseudonymise(with_clashes(docs))
