@@ -253,8 +253,8 @@ def isotonic_recalibration(t: Tables):
     """Confidence is read from the document length, correctness from its label."""
     rows = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").select(
         "doc_id", (F.col("n_chars") % 1000 / 1000).alias("confidence"), F.col("quality").alias("kept"))
-    model = m.recalibrate(rows)
-    return m.recalibrated(rows, model).select("doc_id", "confidence", F.round("prediction", 6).alias("recalibrated"))
+    fit = m.recalibrate(rows)
+    return m.recalibrated(rows, fit).select("doc_id", "confidence", F.round("prediction", 6).alias("recalibrated"))
 
 
 @query("D18", """SELECT l_suppkey AS floor, sum(ceil(l_quantity * 100 / f.factor))::BIGINT AS occupants, count(*) AS rooms

@@ -10,9 +10,11 @@ from redliner.functions.review import lookup
 from redliner.operators.asof import nearest_join
 from redliner.operators.keyed import latest_per_key, parsed
 from redliner.operators.hull import farthest_pair
+from redliner.operators.isotonic import isotonic_fit, isotonic_values
 from redliner.operators.nearest import nearest_place
 from redliner.operators.routing import shortest_to_sources
 from redliner.operators.scan import every, last_value, ordered_scan
+from redliner.session import durable
 
 POINTS_PER_INCH = 72.0
 CALIBRATION_DELTA = 0.02
@@ -263,25 +265,17 @@ def override_history(actions: DataFrame, measurements: DataFrame) -> DataFrame:
     )
 
 
-def recalibrate(outcomes: DataFrame):
-    """Isotonic fit of correctness on stated confidence.
+def recalibrate(outcomes: DataFrame) -> DataFrame:
+    """Isotonic fit of correctness on stated confidence: one row per different confidence.
 
     ``outcomes``: confidence and kept (1 when the reviewer left the value alone).
-    Outcomes of one stated confidence are one weighted point, so the fit gathers
-    as many points as there are different confidences; returns the model.
     """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import IsotonicRegression
+    return durable(isotonic_fit(outcomes))
 
-    points = outcomes.groupBy(F.col("confidence").cast("double").alias("c")).agg(F.avg(F.col("kept").cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    frame = points.select(array_to_vector(F.array("c")).alias("features"), "label", "weight")
-    return IsotonicRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(frame)
 
-
-def recalibrated(df: DataFrame, model) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return model.transform(df.withColumn("features", array_to_vector(F.array(F.col("confidence").cast("double"))))).drop("features")
+def recalibrated(df: DataFrame, fit: DataFrame) -> DataFrame:
+    """``df`` with its recalibrated confidence as ``prediction``."""
+    return isotonic_values(df, fit)
 
 
 # --- aggregates -------------------------------------------------------------------
