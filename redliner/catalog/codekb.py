@@ -218,6 +218,30 @@ def vector_topk(t: Tables):
     return hit.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+SEARCHED = "1996-06-30"
+
+
+@query("L17 L18", f"""WITH {SQL_AMEND},
+s AS (SELECT vec_id AS section_id, vec_id % 200 AS canonical_id, DATE '1990-01-01' + (vec_id * 37 % 3000)::INT AS effective_date,
+  CASE WHEN vec_id % 11 = 0 THEN DATE '1990-01-01' + (vec_id * 37 % 3000)::INT + 900 END AS closes_at, embedding, text FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+f AS (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY effective_date DESC, section_id DESC) AS age FROM s
+  WHERE effective_date <= DATE '{SEARCHED}' AND canonical_id % 4 <> 1),
+h AS (SELECT *, list_cosine_similarity(embedding::DOUBLE[], {_sql_vector(2)}) + CASE WHEN canonical_id = 30 THEN 0.25 ELSE 0 END
+  + CASE WHEN effective_date >= DATE '1995-01-01' THEN 0.05 ELSE 0 END AS score FROM f WHERE age = 1 AND (closes_at IS NULL OR closes_at > DATE '{SEARCHED}')),
+n AS (SELECT canonical_id, count(*) AS amendments FROM am WHERE jurisdiction = '2-HIGH' AND effective_date <= DATE '{SEARCHED}' AND (closes_at IS NULL OR closes_at > DATE '{SEARCHED}') GROUP BY 1)
+SELECT h.section_id, h.canonical_id, round(h.score, 6) AS score, left(h.text, 200) AS snippet, coalesce(n.amendments, 0) AS amendments
+FROM h LEFT JOIN n USING (canonical_id) ORDER BY h.score DESC, h.section_id LIMIT 10""")
+def search_code_in_force(t: Tables):
+    """Vectors are sections, documents their texts; codes are remainders of the canonical id, amendments come from the orders."""
+    began = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("vec_id") * 37 % 3000).cast("int"))
+    rows = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("body_text")), "vec_id", "left").select(
+        F.col("vec_id").alias("section_id"), (F.col("vec_id") % 200).alias("canonical_id"), began.alias("effective_date"),
+        F.when(F.col("vec_id") % 11 == 0, F.date_add(began, 900)).alias("closes_at"), "embedding", "body_text")
+    day = F.lit(SEARCHED).cast("date")
+    hit = kb.search_in_force(rows, probe(2), day, "2-HIGH", amendments(t), F.col("canonical_id") % 4 != 1, 10, "30", F.lit("1995-01-01").cast("date"))
+    return hit.select("section_id", "canonical_id", F.round("score", 6).alias("score"), "snippet", "amendments")
+
+
 @query("F6 J3 L17", "WITH s AS (" + " UNION ALL ".join(
     f"SELECT {n} AS query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], {_sql_vector(n)}) AS score FROM embeddings" for n in range(1, 6)
 ) + "), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5")

@@ -277,6 +277,56 @@ def search_code(
     return sections.withColumn("score", score).orderBy(F.col("score").desc(), F.col(id_column)).limit(k)
 
 
+def search_in_force(
+    sections: DataFrame,
+    vector: Sequence[float],
+    as_of: Column,
+    jurisdiction: str | None = None,
+    amendments: DataFrame | None = None,
+    where: Column | None = None,
+    k: int = 10,
+    citation: str | None = None,
+    cycle_start: Column | None = None,
+    citation_boost: float = 0.25,
+    recency_boost: float = 0.05,
+    snippet: int = 200,
+    vector_column: str = "embedding",
+) -> DataFrame:
+    """Top-k of the sections in force on a date, best first by score, then by section_id.
+
+    ``sections``: section_id, canonical_id, effective_date, closes_at, body_text and
+    the vector. Of a canonical id the latest version effective by then counts; if it
+    is closed by then, the id has none. ``where`` filters sections, by code for
+    instance. Gives section_id, canonical_id, score, snippet and amendments: the
+    number of the jurisdiction's amendments in force (0 without a jurisdiction).
+
+    Rows are scored in the scan, so versions meet by id and score and no vector is
+    shuffled; texts are read for the k hits only. A section without id or date
+    takes no part, one without vector scores its boosts.
+    """
+    score = cosine(vector_column, vector)
+    if citation is not None:
+        score = score + F.when(F.col("canonical_id").cast("string") == citation, citation_boost).otherwise(0.0)
+    if cycle_start is not None:
+        score = score + F.when(F.col("effective_date") >= cycle_start, recency_boost).otherwise(0.0)
+    begun = sections.filter(F.col("canonical_id").isNotNull() & F.col("section_id").isNotNull() & (F.col("effective_date") <= as_of))
+    begun = begun if where is None else begun.filter(where)
+    version = F.struct("effective_date", "section_id", "closes_at", score.alias("score"))
+    latest = begun.groupBy("canonical_id").agg(F.max_by(version, F.struct("effective_date", "section_id")).alias("v")).select("canonical_id", "v.*")
+    top = in_force(latest, as_of).orderBy(F.desc("score"), "section_id").limit(k).select("section_id", "canonical_id", "score")
+    texts = sections.select("section_id", "canonical_id", F.substring("body_text", 1, snippet).alias("snippet")).dropDuplicates(["section_id", "canonical_id"])
+    hits = top.join(texts, ["section_id", "canonical_id"], "left")
+    if amendments is None or jurisdiction is None:
+        return hits.withColumn("amendments", F.lit(0).cast("long"))
+    counts = get_amendments(amendments, jurisdiction, as_of).groupBy("canonical_id").agg(F.count(F.lit(1)).alias("amendments"))
+    return hits.join(counts, "canonical_id", "left").withColumn("amendments", F.coalesce("amendments", F.lit(0)))
+
+
+def get_amendments(amendments: DataFrame, jurisdiction: str, as_of: Column) -> DataFrame:
+    """Amendment records of a jurisdiction in force on a date."""
+    return in_force(amendments.filter(F.col("jurisdiction") == jurisdiction), as_of)
+
+
 def search_many(
     sections: DataFrame, queries: Sequence[tuple[int, Sequence[float]]], k: int = 10,
     vector_column: str = "embedding", id_column: str = "section_id",
