@@ -31,7 +31,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 LEAST_LIKELY = 0.55
 #: buckets of several components up to this size are paired off line by line, larger ones in blocks of documents
 DIRECT = 24
-BLOCK = 512
+#: documents and shingles of a block, on average; a longer text is a row of its own anyway
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 
 _ODD = np.random.default_rng(20240607).integers(0, 2**32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32)
 _MULTIPLY, _ADD = _ODD[0] | np.uint32(1), _ODD[1]
@@ -188,8 +189,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     reps = durable(named.groupBy("n", "digest").agg(F.min("id").alias("rep")))
     member = named.select("id", "n", "digest").join(reps, ["n", "digest"]).select("id", "rep").distinct()
     # an id with several texts ties their classes together
-    tied = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.collect_set("rep").alias("all")).filter("a < b")
-    ties = tied.select("a", F.explode("all").alias("b")).filter("a < b")
+    tied = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")
+    ties = member.join(tied, "id").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
     first = durable(named.join(reps.select("n", "digest", F.col("rep").alias("id")), ["n", "digest", "id"], "left_semi")
                     .dropDuplicates(["id", "n", "digest"]))
     groups = durable(components(band_links(rows, first, percent).union(ties), "a", "b"))
@@ -228,15 +229,22 @@ def band_links(rows: DataFrame, first: DataFrame, percent: int) -> DataFrame:
     several = durable(named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size"))
                       .filter("c0 < c1").select("key", "size"))
     still = durable(named.join(several, "key"))
+    # long texts make more blocks, so that a task holds a bounded number of shingles
+    held = still.filter(F.col("size") > DIRECT).join(first.groupBy("id").agg(F.sum("n").alias("n")), "id")
+    widths = held.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    large = held.join(widths, "key").select("key", "id", "blocks")
     small = still.filter(F.col("size") <= DIRECT).select("key", "id", "component")
     across = small.join(small.toDF("key", "id2", "component2"), "key").filter("id < id2 and component <> component2")
     found = durable(verifier.links(across.select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()))
-    return links.union(found).union(durable(_block_links(still.filter(F.col("size") > DIRECT), sets, percent)))
+    return links.union(found).union(durable(_block_links(large, sets, percent)))
 
 
 def _block_links(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a member and the least member that it is linked with, within two blocks of a bucket."""
-    dealt = large.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    """(a, b): a member and the least member that it is linked with, within two blocks of a bucket.
+
+    ``large``: key, id and the number of blocks of the bucket.
+    """
+    dealt = large.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     everyone = F.sequence(F.lit(0), F.col("blocks") - 1)
     task = F.transform(everyone, lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
     tasks = dealt.select("key", "id", "block", F.explode(task).alias("task")).select("key", "task.left", "task.right", "id", "block")

@@ -64,6 +64,8 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, direct):
     # with small limits, groups also go through the blocks of documents
     monkeypatch.setattr(setsketch, "DIRECT", direct)
     monkeypatch.setattr(setsketch, "BLOCK", 512 if direct > 2 else 8)
+    # blocks by documents in one case, by shingles in the other
+    monkeypatch.setattr(setsketch, "BLOCK_SHINGLES", 1_000_000 if direct > 2 else 300)
     texts = [t for seed in range(6) for t in family(seed, 25)] + [prose(900 + i) for i in range(30)] + ["A b", "a B", "a  b\n", "a b c"]
     rows = list(enumerate(texts, 1000))
     docs = awkward(spark, [(i, t, "en", "s", 1) for i, t in rows])
@@ -77,6 +79,15 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, direct):
     assert all(r["n_shingles"] == sizes[r["doc_id"]] for r in out if r["doc_id"] not in (None, 7))
 
 
+def test_one_id_with_many_texts(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    rows = [(7, text(i)) for i in range(2000)] + [(900, text(1500)), (901, text(3) + " more"), (902, text(5000))]
+    found = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.count() == 2003
+    assert {tuple(r) for r in found.select("doc_id", "component_id", "kept").distinct().collect()} == {
+        (7, 7, True), (900, 7, False), (901, 7, False), (902, 902, True)}
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert setsketch.near_duplicates(empty(spark)).collect() == []
     assert setsketch.one_per_group(empty(spark)).collect() == []
